@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relsat.llm import language, line_dedup, mixing, url_filter
+from relsat.llm import language, line_dedup, mixing, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op4_source_mixing": mixing.query,
     "op6_url_filter": url_filter.query,
+    "op7_token_files": token_files.query,
     "op10_language_id": language.query,
 }
 ORACLES: dict[str, str] = {
