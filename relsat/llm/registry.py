@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relsat.llm import decontaminate, language, line_dedup, mixing, token_files, url_filter
+from relsat.llm import decontaminate, jaccard, language, line_dedup, mixing, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontamination": decontaminate.query,
+    "op3_jaccard_join": jaccard.query,
     "op4_source_mixing": mixing.query,
     "op6_url_filter": url_filter.query,
     "op7_token_files": token_files.query,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
+    "op3_jaccard_join": jaccard.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
 }
