@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relsat.llm import decontaminate, jaccard, language, line_dedup, mixing, token_files, url_filter
+from relsat.llm import ann, decontaminate, jaccard, language, line_dedup, mixing, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": mixing.query,
     "op6_url_filter": url_filter.query,
     "op7_token_files": token_files.query,
+    "op8_nearest": ann.query,
+    "op9_quality": quality.query,
     "op10_language_id": language.query,
 }
 ORACLES: dict[str, str] = {
