@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,7 +53,7 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
 
 def slices(b: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0)).astype(np.int64)
     end = np.cumsum(size)
     at = 0
     while at < b.num_rows:

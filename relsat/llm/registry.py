@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relsat.llm import ann, decontaminate, jaccard, language, line_dedup, mixing, quality, token_files, url_filter
+from relsat.llm import ann, decontaminate, html_extract, jaccard, language, line_dedup, mixing, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontamination": decontaminate.query,
     "op3_jaccard_join": jaccard.query,
     "op4_source_mixing": mixing.query,
+    "op5_html_extraction": html_extract.query,
     "op6_url_filter": url_filter.query,
     "op7_token_files": token_files.query,
     "op8_nearest": ann.query,
