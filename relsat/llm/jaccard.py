@@ -12,7 +12,8 @@ its fingerprint. Two sets link when 100 * |both| >= 80 * |either|.
    already is skipped, and only a forest of links leaves a block.
 3. All other pairs must share a shingle of their prefixes. Prefixes are indexed; each index
    list is ordered by set size and cut into blocks, and whole pairs of blocks are skipped when
-   their sizes cannot match. What is left is verified against the full sets.
+   their sizes cannot match. What is left is verified against the full sets, which travel
+   once to their component of candidate pairs.
 4. Components of the links, labelled with the smallest document number.
 
 Null texts and texts without words have the empty set, which links with nothing. Texts of
@@ -39,6 +40,8 @@ MIN_HEAVY, MAX_HEAVY = 16, 1 << 18
 #: Sets and shingles of one block of a label; documents numbers that are broadcast at most.
 BLOCK_SETS, BLOCK_SHINGLES, MAX_IDS = 1024, 2_000_000, 1_000_000
 FLUSH = 4_000_000
+#: Odd, one for each place in a shingle.
+MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
 
 
 def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
@@ -50,8 +53,11 @@ def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
     k = min(k, len(words))
     n = len(words) - k + 1
     a = np.full(n, np.uint64(k))
-    for j in range(k):
-        a = mix(a * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
+    for j in range(k):  # a linear form of the words' hashes; distinct shingles meet as rarely as random numbers
+        a += h[j : j + n] * MULTIPLIERS[j]
+    a ^= a >> np.uint64(32)
+    a *= np.uint64(0xD6E8FEB86659FD93)
+    a ^= a >> np.uint64(29)
     return np.unique(a)
 
 
@@ -270,6 +276,11 @@ def derived_links(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
+    if m == 2:
+        small, large = sorted(sets, key=len)
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        linked = links(int(size[0]), int(size[1]), int((large[at] == small).sum()))
+        return np.array([ids], np.int64) if linked else np.zeros((0, 2), np.int64)
     u, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), size)
     weight = np.bincount(flat, minlength=len(u))
@@ -354,49 +365,52 @@ def label_links(docs: DataFrame, order: "Order") -> DataFrame:
     return dealt.groupBy("l", "x", "y").applyInPandas(join, "a long, b long")
 
 
-def bounded_semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = MAX_IDS) -> DataFrame:
-    """Semi or anti join with a set of 8-byte ids: by broadcast up to ``most``, else by shuffle."""
+def bounded_join(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = MAX_IDS) -> DataFrame:
+    """Join with a table of some 8-byte columns: by broadcast up to ``most`` rows, else by shuffle."""
     few = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids, column, how)
 
 
 def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose full sets link. Each pair moves one set; a set's pairs are salted."""
-    ends = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
-    place = own.join(ends, "f", "left_semi").groupBy("f").agg(F.min("i").alias("i"))
+    """Links among the sets of each component of the candidate pairs, from their full sets.
+
+    A set travels once to its component, whose sets are joined like those of a label. Small
+    components share a group; large ones are cut into blocks.
+    """
+    comps = connected_components(pairs)
+    place = own.join(comps.selectExpr("id as f", "root as c"), "f").groupBy("f", "c").agg(F.min("i").alias("i"), F.max("n").alias("n"))
     place = staged(place, "place")
-    texts = bounded_semi(docs, place.select("i").distinct(), "i")
+    counts = place.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("k"))
+    counts = counts.select("c", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("k") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    total = int(place.agg(F.sum("n")).first()[0] or 0)
+    groups = total // (BLOCK_SHINGLES // 4) + 8
+    place = staged(place.join(counts, "c").select("i", "f", "c", "g"), "placed")
+    texts = bounded_join(docs, place, "i", "inner")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches):
-            for at in range(0, len(sets), 500):
-                yield pa.record_batch({"f": pa.array([f for f, _ in sets[at : at + 500]], pa.int64()), "s": pa.array([s.tobytes() for _, s in sets[at : at + 500]], pa.binary())})
-
-    full = staged(texts.select("i", "t").mapInArrow(sets_of, "f long, s binary").dropDuplicates(["f"]), "sets", "none")
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("g"))
-    salted = pairs.join(hubs, "a")
-    member = salted.select("a", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("salt"), F.col("b").alias("f"), F.lit(1).alias("side"))
-    centre = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.col("a").alias("f"), F.lit(0).alias("side"))
-    rows = member.union(centre).join(full, "f")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub = None, np.zeros(0, np.uint64)
-        for b in batches:
-            found = []
-            for a, salt, f, side, s in zip(*(b.column(c).to_pylist() for c in ("a", "salt", "f", "side", "s"))):
-                x = np.frombuffer(s, np.uint64)
-                if not side:
-                    at, hub = (a, salt), x
-                elif at == (a, salt):
-                    k = np.minimum(np.searchsorted(hub, x), len(hub) - 1)
-                    if links(len(hub), len(x), int((hub[k] == x).sum())):
-                        found.append((a, f))
-                else:
-                    raise ValueError("a pair came before its centre")
-            yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(check, "a long, b long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([b.column("f"), b.column("c"), b.column("g"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("t").cast(pa.binary())], pa.binary())], ["f", "c", "g", "s"])
+
+    full = texts.select("f", "c", "g", "t").mapInArrow(sets_of, "f long, c long, g int, s binary")
+    own_block = F.pmod(F.xxhash64("f"), F.col("g")).cast("int")
+    dealt = full.withColumn("own", own_block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    large = F.col("g") > 1
+    dealt = dealt.select(large.alias("large"), F.when(large, F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(groups))).alias("k"), F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "c", "f", "s")
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        g = g.drop_duplicates("f").sort_values(["c", "f"])
+        c, f, sets = g.c.to_numpy(), g.f.to_numpy(), g.s.to_list()
+        edge = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if z - a > 1:
+                out.append(derived_links(f[a:z], [np.frombuffer(s, np.uint64) for s in sets[a:z]]))
+        e = np.concatenate(out)
+        return pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
+
+    return dealt.groupBy("large", "k", "x", "y").applyInPandas(join, "a long, b long")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -423,7 +437,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each component the document with the smallest number."""
     gone = staged(components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return bounded_semi(docs, gone, "doc_id", "left_anti")
+    return bounded_join(docs, gone, "doc_id", "left_anti")
 
 
 ORACLE = r"""
