@@ -163,7 +163,11 @@ class Order:
 
 
 def prefix_pairs(docs: DataFrame, order: "Order", total: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of fingerprints that share a prefix shingle, fit in size and have no common label."""
+    """Pairs (``a``, ``b``) of fingerprints that may link and have no common label.
+
+    They share a prefix shingle, fit in size, and share so many prefix shingles that the rest
+    of the sets can make up what is missing.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
     parts = max(1, min(20_000, total // 5 // 1_000_000 + 1), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -198,7 +202,8 @@ def prefix_pairs(docs: DataFrame, order: "Order", total: int) -> DataFrame:
             yield from _list_pairs(rows.pop(p))
 
     spread_out = docs.mapInArrow(spread, "p int, k binary, o binary, f binary, n binary, l binary").repartition(parts, "p")
-    return spread_out.mapInArrow(join, "a long, b long").distinct()
+    met = spread_out.mapInArrow(join, "a long, b long, c long, least long")
+    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
 def _list_pairs(rows: list[dict], block: int = 256) -> Iterator[pa.RecordBatch]:
@@ -220,7 +225,7 @@ def _list_pairs(rows: list[dict], block: int = 256) -> Iterator[pa.RecordBatch]:
     key, own = key[fresh], own[fresh]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     length = np.diff(edge)
-    out: list[np.ndarray] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
@@ -232,15 +237,18 @@ def _list_pairs(rows: list[dict], block: int = 256) -> Iterator[pa.RecordBatch]:
             common |= ((lab[a, j : j + 1] == lab[b]) & (lab[a, j : j + 1] != 0)).any(1)
         a, b = a[~common], b[~common]
         if len(a):
-            out.append(np.unique(np.minimum(a, b) * np.int64(len(fp)) + np.maximum(a, b)))
-            held += len(out[-1])
+            out.append(np.unique(np.minimum(a, b) * np.int64(len(fp)) + np.maximum(a, b), return_counts=True))
+            held += len(out[-1][0])
 
     def flush() -> pa.RecordBatch:
         nonlocal out, held
-        u = np.unique(np.concatenate(out))
-        x, y = fp[u // len(fp)], fp[u % len(fp)]
+        u, at = np.unique(np.concatenate([o[0] for o in out]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([o[1] for o in out]).astype(float)).astype(np.int64)
+        i, j = u // len(fp), u % len(fp)
         out, held = [], 0
-        return pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+        # of the set whose prefix ends first, all but its prefix may be common besides the counted ones
+        least = (4 * (n[i] + n[j]) + 8) // 9 - (need(np.maximum(n[i], n[j])) - 1)
+        return pa.record_batch({"a": pa.array(np.minimum(fp[i], fp[j])), "b": pa.array(np.maximum(fp[i], fp[j])), "c": pa.array(c), "least": pa.array(least)})
 
     for m in np.unique(length[(length > 1) & (length <= block)]).tolist():
         at = edge[:-1][length == m]
