@@ -7,8 +7,7 @@ the stream position written down every CHECKPOINT symbols of a lane, so that a r
 start there, and a CRC-32 of the ids. Blocks are rows of Parquet files (format below), so any
 store that Spark reaches will do and Spark's commit protocol guards against lost executors.
 
-Block row: ``part`` (range of document numbers), ``seq`` (block in the part), ``start`` (ids
-of the part before the block), ``n_tokens``, ``crc32`` (of all ids as little-endian u32),
+Block row: ``part`` (range of document numbers), ``start`` (ids of the part before the block), ``n_tokens``, ``crc32`` (of all ids as little-endian u32),
 ``n_docs``, ``doc_ids`` (i64 array, little-endian), ``lengths`` (u32 array), ``payload``:
 magic ``RTB1``, u32 lanes, u32 tokens, u32 checkpoints, u32 words, then for each checkpoint a
 u64 stream position and LANES u64 states, then the words.
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,88 +29,148 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from relsat.llm.common import table
 from relsat.operators.staging import new_path, staged
 
-END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 128, 24, 1 << 16, 256
+END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 1024, 20, 1 << 18, 128
+#: How ids lie in the staged table; the vocabulary must fit, and be smaller than 2**SCALE.
+IDS = np.dtype("<u2")
 LOW = np.uint64(1 << 31)
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct word forms whose ids a worker keeps, and the longest that it keeps (characters).
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Distinct pieces whose ids a worker keeps, and the longest that it keeps (characters).
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
 
 
-class Words:
-    """Byte-level BPE by word: ids of frequent word forms are kept, others go to the library.
+class Words(dict):
+    """Ids of the pieces between single blanks, as bytes; a missing piece is encoded by the library.
 
-    The tokenizer splits a text by a fixed pattern and encodes the parts one by one, so a
-    part's ids do not depend on its text. Texts with characters beyond LATIN, whose classes
-    may differ between libraries, and special strings are encoded whole by the library.
+    The tokenizer splits a text by a fixed pattern and encodes the parts one by one. No part
+    goes on over a blank that stands between two other characters than blanks; such a blank
+    begins a part. So the pieces, each with its blank, can be encoded one by one. The same
+    holds between a letter and one of TAILS. Texts with two blanks in a row go to the library
+    whole, as does everything if the tokenizer is of another kind.
     """
 
-    LATIN = "ɏ"
+    TAILS = frozenset(".,;:!?")
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import regex
+        import json
+
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.by_word = self.tokenizer.pre_tokenizer is not None and self.tokenizer.normalizer is None
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known, out, later = self.known, [], []
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        plain = [self.by_word and (t.isascii() or max(t) <= self.LATIN) and not any(s in t for s in self.special) for t in texts]
-        split = [self.split(t) if ok else None for t, ok in zip(texts, plain)]
-        new = list({w for ws in split if ws for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else ()):
-            known[w] = e.ids
-        for t, ws in zip(texts, split):
-            out.append(list(chain.from_iterable(map(known.__getitem__, ws))) if ws is not None else self.tokenizer.encode(t, add_special_tokens=False).ids)
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
-        return out
-
-
-def tokens_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END) -> DataFrame:
-    """``doc_id``, ``n`` and ``ids`` (u16 or u32 array, little-endian) of every row."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(TOKENIZER)
-    kind = docs.schema[doc_id].dataType
+        if self.tokenizer.get_vocab_size() > np.iinfo(IDS).max:
+            raise ValueError(f"the ids of {path} do not fit {IDS}")
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        split = how.get("pre_tokenizer") or {}
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not how.get("normalizer")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").astype(IDS).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > 1 and piece[-1] in self.TAILS and piece[-2].isalpha():
+            return self[piece[:-1]] + self.tail(piece[-1])
+        ids = self.whole(f" {piece}")
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def tail(self, mark: str) -> bytes:
+        key = f" {mark}"  # no piece holds a blank
+        if key not in self:
+            self[key] = self.whole(mark)
+        return self[key]
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.by_piece or "  " in text:
+            return self.whole(text)
+        pieces = text.split(" ")
+        first = pieces[0]
+        if first:
+            key = f"  {first}"
+            start = self.get(key)
+            if start is None:
+                start = self.whole(first)
+                if len(first) <= CACHE_CHARS:
+                    self[key] = start
+        else:
+            start = b""
+        return start + b"".join(map(self.__getitem__, pieces[1:]))
+
+
+@lru_cache(maxsize=1)
+def words(path: str) -> Words:
+    """One cache for all tasks of a worker process."""
+    return Words(path)
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+TOKENS = "part int, at long, doc_id long, n long, ids binary, counts binary"
+
+
+def ordered_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END) -> DataFrame:
+    """The documents' ids in ascending order of their numbers, from ranges of these.
+
+    ``part`` is the range, ``at`` the ids of the range before the document, ``ids`` an array
+    of IDS. The last row of each range has the occurrences of every id instead, in ``counts``.
+    """
+    spark = docs.sparkSession
+    path = path or default_tokenizer()
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = docs.count()
+    parts = max(1, min(n, max(shuffle, n // 20_000)))
+    ranged = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t")).repartitionByRange(parts, "i").sortWithinPartitions("i", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                ids = [np.array([*x, end], "<u4") for x in words.encode([t or "" for t in part.column("t").to_pylist()])]
-                yield pa.record_batch({"doc_id": part.column("i"), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+        from pyspark import TaskContext
 
-    shape = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInArrow(run, shape)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode = words(path).encode
+        part, at = TaskContext.get().partitionId(), 0
+        last = np.array([end], IDS).tobytes()
+        total = np.zeros(1, np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                ids = [encode(t or "") + last for t in b.column("t").to_pylist()]
+                size = np.array([len(x) // IDS.itemsize for x in ids], np.int64)
+                ends = at + np.cumsum(size)
+                at = int(ends[-1])
+                c = np.bincount(np.frombuffer(b"".join(ids), IDS), minlength=len(total))
+                c[: len(total)] += total
+                total = c
+                yield pa.record_batch({"part": pa.array(np.full(len(ids), part), pa.int32()), "at": pa.array(ends - size), "doc_id": b.column("i"), "n": pa.array(size), "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([at]), "doc_id": pa.nulls(1, pa.int64()), "n": pa.array([0]), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+    return ranged.mapInArrow(run, TOKENS)
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:
-    """Occurrences of each id over all rows; the result's length is that of the vocabulary."""
+    """Occurrences of each id over all ranges; the result's length is that of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for b in batches:
-            ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4")
-            c = np.bincount(ids, minlength=len(total)) if len(ids) else np.zeros(1, np.int64)
-            c[: len(total)] += total
-            total = c
+            for v in b.column("counts").to_pylist():
+                c = np.frombuffer(v, "<i8")
+                if len(c) > len(total):
+                    total = np.r_[total, np.zeros(len(c) - len(total), np.int64)]
+                total[: len(c)] += c
         k = np.flatnonzero(total)
         yield pa.record_batch({"k": pa.array(k, pa.int32()), "c": pa.array(total[k], pa.int64())})
 
-    counted = tokens.select("ids").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
+    counted = tokens.where("counts is not null").select("counts").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(int(counted.k.max()) + 1 if len(counted) else 1, np.int64)
     out[counted.k.to_numpy()] = counted.c.to_numpy()
     return out
@@ -161,6 +220,13 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray, lanes: int
     return b"RTB1" + np.array([lanes, n, len(marks), words], "<u4").tobytes() + body + stream.astype("<u4").tobytes()
 
 
+@lru_cache(maxsize=2)
+def _slots(freq: bytes) -> np.ndarray:
+    """The id of each of the ``2**SCALE`` slots."""
+    f = np.frombuffer(freq, np.int64)
+    return np.repeat(np.arange(len(f), dtype=np.int32), f)
+
+
 def decode_block(payload: bytes, freq: np.ndarray, cum: np.ndarray, first: int = 0, last: int | None = None, every: int = CHECKPOINT) -> np.ndarray:
     """The ids of a block, or those between two of its checkpoints."""
     if payload[:4] != b"RTB1":
@@ -176,15 +242,15 @@ def decode_block(payload: bytes, freq: np.ndarray, cum: np.ndarray, first: int =
     stop = rows if last is None else min(rows, last * every)
     ids = np.empty((stop - first * every) * lanes, np.int64)
     mask, m = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
-    live = np.flatnonzero(freq)  # ids that never occur have an empty stretch
-    starts, f_live = cum[live].astype(np.uint64), freq[live].astype(np.uint64)
+    symbol = _slots(freq.tobytes())
+    starts, f_all = cum.astype(np.uint64), freq.astype(np.uint64)
     for k, r in enumerate(range(first * every, stop)):
         w = min(lanes, n - r * lanes)
         y = x[:w]
         slot = y & mask
-        s = np.searchsorted(starts, slot, "right") - 1
-        ids[k * lanes : k * lanes + w] = live[s]
-        y = f_live[s] * (y >> m) + slot - starts[s]
+        s = symbol[slot]
+        ids[k * lanes : k * lanes + w] = s
+        y = f_all[s] * (y >> m) + slot - starts[s]
         low = y < LOW
         c = int(low.sum())
         if c:
@@ -194,45 +260,45 @@ def decode_block(payload: bytes, freq: np.ndarray, cum: np.ndarray, first: int =
     return ids[: min(n, stop * lanes) - first * every * lanes]
 
 
-BLOCKS = "part int, seq int, start long, n_tokens long, crc32 long, n_docs int, doc_ids binary, lengths binary, payload binary"
+BLOCKS = "part int, start long, n_tokens long, crc32 long, n_docs int, doc_ids binary, lengths binary, payload binary"
+BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("crc32", pa.int64()), ("n_docs", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
 
 
 def write_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, tokenizer: str | None = None) -> tuple[str, np.ndarray]:
     """Encode every document into block files; returns their folder and the frequencies."""
     spark = docs.sparkSession
-    tokens = staged(tokens_of(docs, doc_id, text, tokenizer), "tokens", "zstd")
+    tokens = staged(ordered_tokens(docs, doc_id, text, tokenizer), "tokens", "zstd")
     freq = scaled(frequencies(tokens))
-    cum = np.cumsum(freq) - freq
-    shared = spark.sparkContext.broadcast((freq, cum))
-    parts = max(1, min(20_000, int(tokens.agg(F.sum("n")).first()[0] or 0) // 4_000_000 + 1), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    shared = spark.sparkContext.broadcast((freq, np.cumsum(freq) - freq))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seq, start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int | None, bytes]] = []
+        where: tuple[int, int] | None = None  # range and place of the block's first document
+        numbers: list[int] = []
+        held: list[bytes] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, start, held, size
-            raw = b"".join(x for _, x in held)
-            ids = np.frombuffer(raw, "<u4")
-            row = {"part": part, "seq": seq, "start": start, "n_tokens": len(ids), "crc32": zlib.crc32(raw), "n_docs": len(held), "doc_ids": np.array([NULL if i is None else i for i, _ in held], "<i8").tobytes(), "lengths": np.array([len(x) // 4 for _, x in held], "<u4").tobytes(), "payload": encode_block(ids, *shared.value)}
-            seq, start, held, size = seq + 1, start + len(ids), [], 0
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("crc32", pa.int64()), ("n_docs", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())]))
+            nonlocal where, numbers, held, size
+            ids = np.frombuffer(b"".join(held), IDS).astype("<u4")
+            row = {"part": where[0], "start": where[1], "n_tokens": len(ids), "crc32": zlib.crc32(ids.tobytes()), "n_docs": len(held), "doc_ids": np.array(numbers, "<i8").tobytes(), "lengths": np.array([len(x) // IDS.itemsize for x in held], "<u4").tobytes(), "payload": encode_block(ids, *shared.value)}  # type: ignore[index]
+            where, numbers, held, size = None, [], [], 0
+            return pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
 
         for b in batches:
-            for i, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
-                held.append((i, x.as_py()))
-                size += len(held[-1][1]) // 4
+            for part, at, i, x in zip(*(b.column(c).to_pylist() for c in ("part", "at", "doc_id", "ids"))):
+                if held and (where[0] != part or where[1] + size != at):  # another range or file  # type: ignore[index]
+                    yield close()
+                where = where or (part, at)
+                numbers.append(NULL if i is None else i)
+                held.append(x)
+                size += len(x) // IDS.itemsize
                 if size >= BLOCK_TOKENS:
                     yield close()
         if held:
             yield close()
 
     path = path or new_path(spark, "blocks")
-    ordered = tokens.repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
+    tokens.where("ids is not null").select("part", "at", "doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
     return path, freq
 
 
@@ -255,14 +321,14 @@ def read_documents(spark: SparkSession, path: str, freq: np.ndarray) -> DataFram
                 ids = decode_block(r["payload"], *shared.value).astype("<u4")
                 raw = ids.tobytes()
                 if zlib.crc32(raw) != r["crc32"]:
-                    raise ValueError(f"block {r['part']}/{r['seq']} is damaged")
+                    raise ValueError(f"block {r['part']}/{r['start']} is damaged")
                 n = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 end = np.cumsum(n)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(end.tolist(), n.tolist())]
                 i = np.frombuffer(r["doc_ids"], "<i8")
                 yield pa.record_batch({"part": pa.array(np.full(len(n), r["part"]), pa.int32()), "doc_id": pa.array(i, pa.int64(), mask=i == NULL), "at": pa.array(r["start"] + end - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    docs = blocks.select("part", "seq", "start", "crc32", "doc_ids", "lengths", "payload").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("part", "start", "crc32", "doc_ids", "lengths", "payload").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
