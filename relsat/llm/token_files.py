@@ -19,6 +19,7 @@ order of their number, nulls first, repeated numbers in the order of their encod
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from relsat.llm.common import table
 from relsat.operators.staging import new_path, staged
 
-END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 1024, 20, 1 << 18, 128
+END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 2048, 20, 1 << 19, 128
 #: How ids lie in the staged table; the vocabulary must fit, and be smaller than 2**SCALE.
 IDS = np.dtype("<u2")
 LOW = np.uint64(1 << 31)
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces whose ids a worker keeps, and the longest that it keeps (characters).
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
+CACHE_WORDS, CACHE_CHARS = 1_300_000, 40
 
 
 class Words(dict):
@@ -65,20 +66,27 @@ class Words(dict):
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not how.get("normalizer")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").astype(IDS).tobytes()
+        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in self.TAILS and piece[-2].isalpha():
-            return self[piece[:-1]] + self.tail(piece[-1])
-        ids = self.whole(f" {piece}")
-        if len(piece) <= CACHE_CHARS:
+        """A piece is kept as it is, or after two blanks if no blank stands before it in the text."""
+        bare = piece[2:] if piece[:2] == "  " else None
+        text = piece if bare is None else bare
+        if len(text) > 1 and text[-1] in self.TAILS and text[-2].isalpha():
+            return self[piece[:-1]] + self.mark(text[-1])
+        parts = text.split("\n")
+        if len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+            # a line feed between two other characters than white space is a part of its own
+            return self[parts[0] if bare is None else f"  {parts[0]}"] + b"".join(self.mark("\n") + self[f"  {p}"] for p in parts[1:])
+        ids = self.whole(f" {piece}" if bare is None else bare)
+        if len(text) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[piece] = ids
         return ids
 
-    def tail(self, mark: str) -> bytes:
-        key = f" {mark}"  # no piece holds a blank
+    def mark(self, mark: str) -> bytes:
+        key = f" {mark}"  # no piece begins with one blank
         if key not in self:
             self[key] = self.whole(mark)
         return self[key]
@@ -89,17 +97,7 @@ class Words(dict):
         if not self.by_piece or "  " in text:
             return self.whole(text)
         pieces = text.split(" ")
-        first = pieces[0]
-        if first:
-            key = f"  {first}"
-            start = self.get(key)
-            if start is None:
-                start = self.whole(first)
-                if len(first) <= CACHE_CHARS:
-                    self[key] = start
-        else:
-            start = b""
-        return start + b"".join(map(self.__getitem__, pieces[1:]))
+        return (self[f"  {pieces[0]}"] if pieces[0] else b"") + b"".join(map(self.__getitem__, pieces[1:]))
 
 
 @lru_cache(maxsize=1)
@@ -141,8 +139,8 @@ def ordered_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         last = np.array([end], IDS).tobytes()
         total = np.zeros(1, np.int64)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
                 ids = [encode(t or "") + last for t in b.column("t").to_pylist()]
                 size = np.array([len(x) // IDS.itemsize for x in ids], np.int64)
                 ends = at + np.cumsum(size)
