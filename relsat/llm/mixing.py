@@ -109,7 +109,9 @@ def draw(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MO
     grid = grid.withColumn("drawn", F.when(F.col("draws") > 0, F.size(F.filter(F.sequence(F.lit(1), F.col("draws")), lambda i: (u(i) >= F.col("lo")) & (u(i) < F.col("hi"))))).otherwise(0))
     counts = grid.select("sk", "shard", (F.col("sure") + F.col("drawn")).cast("long").alias("c")).where("c > 0")
     counts = counts.withColumn("first", F.sum("c").over(Window.partitionBy("sk").orderBy("shard")) - F.col("c"))
-    slots = counts.join(full.select("sk", "blocks"), "sk").select("sk", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("c") - 1)).alias("k"))
+    # few rows that become many: dealt by number, so that they are not put together again
+    counts = counts.join(full.select("sk", "blocks"), "sk").repartition(min(20_000, shards // 50 + 4), "sk", "shard")
+    slots = counts.select("sk", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("c") - 1)).alias("k"))
     slots = slots.where(F.col("k") < F.col("blocks") * most).withColumn("turn", F.floor(F.col("k") / F.col("blocks")).cast("int"))
     b = _permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sk"), F.col("turn"))
     return slots.select("sk", b.alias("b"), "turn").groupBy("sk", "b").agg(F.count("*").alias("times"), F.sum(F.expr("shiftleft(1, turn)")).alias("passes"))
