@@ -5,13 +5,13 @@ one character edit of it. Lines are the parts of a text between line feeds; blan
 Lines under MIN_CHARS characters are compared for equality only.
 
 1. Equal lines meet in one aggregate, which keeps the earliest place.
-2. Sound prefilter: of two lines within one edit either the first or the second half agrees;
-   only distinct lines that share a half with another one go on.
-3. For these every variant with one character deleted is emitted as a hashed key, along with
-   the place of the deletion. Variants of one line are hashed from a prefix, a suffix and the
-   rest of a short stretch, so a line of n characters costs n to the power 1.5, not n squared.
-   Lines that share a substitution key form a clique, lines that share an insertion key a star
-   around the shorter line: the earliest place of either side is an aggregate, never pairs.
+2. Sound prefilters: of two lines within one edit either the first or the second half agrees,
+   and all but one stretch of about the square root of their length. Only distinct lines that
+   share a half, and then only stretches around which another line agrees, go on.
+3. For these every variant with one character of the stretch deleted is emitted as a hashed
+   key, along with the place of the deletion. Lines that share a substitution key form a
+   clique, lines that share an insertion key a star around the shorter line: the earliest
+   place of either side is an aggregate, never pairs.
 4. The partner found is verified by edit distance on the texts.
 
 Null texts have no lines. Equal rows of one document number are told apart by text only.
@@ -38,41 +38,21 @@ def _half_keys(n: Column, line: Column, length: Column) -> list[Column]:
     return [F.xxhash64(F.lit("p"), n, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit("s"), n, F.substring(line, (length - rest + 1).cast("int"), rest))]
 
 
-def _step(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+def _stretches(act: DataFrame, longer: bool) -> DataFrame:
+    """A row for each stretch of a line: ``key`` of all that stands around it, and its ``body``.
 
-
-def _variants(c: Column, n: Column, s: Column, tag: str, mark: Column | None) -> Column:
-    """Keys of the deletions of the ``n`` characters of ``c``, in stretches of ``s``.
-
-    With ``mark`` (the length of the shorter line) the key holds the stretch only, else the
-    deleted place too. A stretch of the last kind holds ``s + 1`` characters, so that a longer
-    line meets a shorter one in the stretch where the extra character stands.
+    The geometry is that of a line of the same length or, for ``longer``, of a line that is
+    one character shorter; then a stretch is one character wider, so that it is all in which
+    the two lines can differ.
     """
-    wide = s + 1 if mark is not None else s
-    count = F.ceil((n if mark is None else mark) / s).cast("int")
-
-    def stretch(j: Column) -> Column:
-        at = j * s
-        body = F.substring(c, at + 1, wide)
-        size = F.least(wide, n - at)
-        pre, post = F.xxhash64(F.substring(c, F.lit(1), at)), F.xxhash64(F.substring(c, at + 1 + size, n))
-        gone = lambda o: F.concat(F.substring(body, F.lit(1), o), F.substring(body, o + 2, size))
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda o: F.xxhash64(F.lit(tag), n if mark is None else mark, pre, post, gone(o), (at + o) if mark is None else j))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), stretch))
-
-
-def _whole(c: Column, n: Column, s: Column) -> Column:
-    """The same keys for the shorter line, once for each stretch."""
-    count = F.ceil(n / s).cast("int")
-
-    def stretch(j: Column) -> Column:
-        at = j * s
-        size = F.least(s, n - at)
-        return F.xxhash64(F.lit("i"), n, F.xxhash64(F.substring(c, F.lit(1), at)), F.xxhash64(F.substring(c, at + 1 + size, n)), F.substring(c, at + 1, size), j)
-
-    return F.transform(F.sequence(F.lit(0), count - 1), stretch)
+    n = F.col("n").cast("int")
+    g = n - 1 if longer else n
+    s = F.greatest(F.lit(1), F.ceil(F.sqrt(g)).cast("int"))
+    rows = act.select("k", "first", "line", n.alias("n"), g.alias("g"), s.alias("s"), F.explode(F.sequence(F.lit(0), (F.ceil(g / s) - 1).cast("int"))).alias("j"))
+    rows = rows.withColumn("at", F.col("j") * F.col("s"))
+    rows = rows.withColumn("size", F.least(F.col("s") + int(longer), F.col("n") - F.col("at")))
+    before, after = F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("at") + F.col("size") + 1, F.col("n"))
+    return rows.select("k", "first", "size", F.lit(longer).alias("longer"), F.xxhash64("g", "j", before, F.lit(7), after).alias("key"), F.substring("line", F.col("at") + 1, F.col("size")).alias("body"))
 
 
 def near_earlier(distinct: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -88,10 +68,16 @@ def near_earlier(distinct: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("half")
     active = halves.join(shared, "half", "left_semi").select("k").distinct()
     act = staged(long.join(active, "k").select("k", "line", "n", "first"), "active")
-    c, m = F.col("line"), F.col("n").cast("int")
-    same = act.select("k", "first", F.explode(_variants(c, m, _step(m), "x", None)).alias("v"), F.lit(0).alias("side"))
-    longer = act.where(F.col("n") > min_chars).select("k", "first", F.explode(F.array_distinct(_variants(c, m, _step(m - 1), "i", m - 1))).alias("v"), F.lit(1).alias("side"))
-    shorter = act.select("k", "first", F.explode(_whole(c, m, _step(m))).alias("v"), F.lit(2).alias("side"))
+    around = staged(_stretches(act, False).unionByName(_stretches(act.where(F.col("n") > min_chars), True)), "stretches")
+    met = around.groupBy("key").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("key")
+    around = staged(around.join(met, "key", "left_semi"), "met")
+    # every deletion of one character of the stretch, and the stretch as it is
+    gone = lambda o: F.concat(F.substring("body", F.lit(1), o), F.substring("body", o + 2, F.col("size")))
+    places = F.sequence(F.lit(0), F.col("size") - 1)
+    own, long_ = around.where("not longer"), around.where("longer")
+    same = own.select("k", "first", F.explode(F.transform(places, lambda o: F.xxhash64("key", F.lit("x"), o, gone(o)))).alias("v"), F.lit(0).alias("side"))
+    longer = long_.select("k", "first", F.explode(F.array_distinct(F.transform(places, lambda o: F.xxhash64("key", F.lit("i"), gone(o))))).alias("v"), F.lit(1).alias("side"))
+    shorter = own.select("k", "first", F.xxhash64("key", F.lit("i"), "body").alias("v"), F.lit(2).alias("side"))
     keys = staged(same.unionByName(longer).unionByName(shorter), "variants")
     side = lambda s: F.min(F.when(F.col("side") == s, F.struct("first", "k")))
     best = keys.groupBy("v").agg(F.min("k").alias("a"), F.max("k").alias("z"), side(0).alias("x"), side(1).alias("l"), side(2).alias("s")).where("a <> z").select("v", "x", "l", "s")
