@@ -61,4 +61,6 @@ class Modules:
                 commands += self._declarations(self.resolve(c.name, folder))
             else:
                 rest.append(c)
+        # modules may load each other: their tables come before their rules
+        commands.sort(key=lambda c: isinstance(c, (p.Rule, p.Cost)))
         self.engine.execute(commands + rest)
