@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,13 +43,32 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def trim() -> None:
+    """Give a worker's unused memory back: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def trimmed(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A partition function that gives unused memory back when it is done."""
+
+    def run(*batches: Iterator) -> Iterator:
+        yield from f(*batches)
+        trim()
+
+    return run
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield out
 
-    return run
+    return trimmed(run)
 
 
 def slices(b: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:

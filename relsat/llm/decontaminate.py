@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import table
+from relsat.llm.common import table, trimmed
 from relsat.llm.fm_index import FMIndex
 
-WINDOW, SHARD_WORDS, BLOCK_CHARS = 10, 2_000_000, 8_000_000
+WINDOW, SHARD_WORDS, BLOCK_CHARS = 10, 1_000_000, 8_000_000
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -150,7 +150,7 @@ def scan_block(docs: DataFrame, phrases: Phrases, text: str, carry: list[str]) -
 
     span = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
     shape = T.StructType([*(docs.schema[c] for c in carry), T.StructField("__words", T.LongType()), T.StructField("__hit", T.LongType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__spans", T.ArrayType(span))])
-    return docs.mapInArrow(run, shape)
+    return docs.mapInArrow(trimmed(run), shape)
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:

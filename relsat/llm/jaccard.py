@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import mix, table, word_hashes
+from relsat.llm.common import mix, table, trimmed, word_hashes
 from relsat.operators.components import connected_components
 from relsat.operators.staging import staged
 
@@ -38,8 +38,8 @@ WORDS = 5
 #: A shingle of that many sets may count as heavy; so many heavy shingles at most.
 MIN_HEAVY, MAX_HEAVY = 16, 1 << 18
 #: Sets and shingles of one block of a label; documents numbers that are broadcast at most.
-BLOCK_SETS, BLOCK_SHINGLES, MAX_IDS = 1024, 2_000_000, 1_000_000
-FLUSH = 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES, MAX_IDS = 512, 1_000_000, 1_000_000
+FLUSH = 2_000_000
 #: Odd, one for each place in a shingle.
 MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
 
@@ -100,7 +100,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             s = [shingles(t.as_py()) for t in b.column("t").cast(pa.binary())]
             yield pa.record_batch({"i": b.column("i"), "n": pa.array([len(x) for x in s], pa.int64()), "f": pa.array([fingerprint(x) if len(x) else None for x in s], pa.int64())})
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["i"], T.StructField("n", T.LongType()), T.StructField("f", T.LongType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([docs.schema["i"], T.StructField("n", T.LongType()), T.StructField("f", T.LongType())]))
 
 
 def heavy_shingles(docs: DataFrame, total: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def heavy_shingles(docs: DataFrame, total: int) -> tuple[int, np.ndarray, np.nda
             hot = c >= MIN_HEAVY
             yield pa.record_batch({"p": pa.array((np.int64(k) << 32) | u[hot].astype(np.int64), pa.int64()), "c": pa.array(c[hot], pa.int64())})
 
-    counted = docs.mapInArrow(spread, "k int, v binary").repartition(min(1 << bits, 2000), "k").mapInArrow(count, "p long, c long")
+    counted = docs.mapInArrow(trimmed(spread), "k int, v binary").repartition(min(1 << bits, 2000), "k").mapInArrow(trimmed(count), "p long, c long")
     top = counted.orderBy(F.desc("c"), "p").limit(MAX_HEAVY).toPandas().sort_values("p")
     return int(shift), top.p.to_numpy(np.uint64), top.c.to_numpy(np.int64)
 
@@ -201,8 +201,8 @@ def prefix_pairs(docs: DataFrame, order: "Order", total: int) -> DataFrame:
         for p in list(rows):
             yield from _list_pairs(rows.pop(p))
 
-    spread_out = docs.mapInArrow(spread, "p int, k binary, o binary, f binary, n binary, l binary").repartition(parts, "p")
-    met = spread_out.mapInArrow(join, "a long, b long, c long, least long")
+    spread_out = docs.mapInArrow(trimmed(spread), "p int, k binary, o binary, f binary, n binary, l binary").repartition(parts, "p")
+    met = spread_out.mapInArrow(trimmed(join), "a long, b long, c long, least long")
     return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
@@ -253,11 +253,11 @@ def _list_pairs(rows: list[dict], block: int = 256) -> Iterator[pa.RecordBatch]:
     for m in np.unique(length[(length > 1) & (length <= block)]).tolist():
         at = edge[:-1][length == m]
         i, j = np.triu_indices(m, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 400_000 // len(i))
         for k in range(0, len(at), step):
             lists = own[at[k : k + step, None] + np.arange(m)]
             keep(lists[:, i].ravel(), lists[:, j].ravel())
-            if held > 4_000_000:
+            if held > 2_000_000:
                 yield flush()
     for e, m in zip(edge[:-1][length > block].tolist(), length[length > block].tolist()):
         members = own[e : e + m]  # by size, so a block's sizes are its ends
@@ -269,7 +269,7 @@ def _list_pairs(rows: list[dict], block: int = 256) -> Iterator[pa.RecordBatch]:
                     break  # this and all later blocks are too large
                 k, t = (np.triu_indices(len(x), 1) if i == j else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))))
                 keep(x[k], y[t])
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield flush()
     if out:
         yield flush()
@@ -356,7 +356,7 @@ def label_links(docs: DataFrame, order: "Order") -> DataFrame:
             for at in range(0, len(rows[0]), 2000):
                 yield pa.record_batch({c: pa.array(r[at : at + 2000], k) for c, r, k in zip("lfns", rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
 
-    labelled = staged(docs.mapInArrow(spread, "l long, f long, n long, s binary"), "labelled", "none")
+    labelled = staged(docs.mapInArrow(trimmed(spread), "l long, f long, n long, s binary"), "labelled", "none")
     # one row for each label at most, and a label is one of MAX_HEAVY shingles
     counts = labelled.groupBy("l").agg(F.count("*").alias("m"), F.sum("n").alias("k")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("k") / BLOCK_SHINGLES)).cast("int")
@@ -391,7 +391,7 @@ def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
     counts = place.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("k"))
     counts = counts.select("c", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("k") / BLOCK_SHINGLES)).cast("int").alias("g"))
     total = int(place.agg(F.sum("n")).first()[0] or 0)
-    groups = total // (BLOCK_SHINGLES // 4) + 8
+    groups = total // (BLOCK_SHINGLES // 2) + 8
     place = staged(place.join(counts, "c").select("i", "f", "c", "g"), "placed")
     texts = bounded_join(docs, place, "i", "inner")
 
@@ -401,7 +401,7 @@ def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
                 b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([b.column("f"), b.column("c"), b.column("g"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("t").cast(pa.binary())], pa.binary())], ["f", "c", "g", "s"])
 
-    full = texts.select("f", "c", "g", "t").mapInArrow(sets_of, "f long, c long, g int, s binary")
+    full = texts.select("f", "c", "g", "t").mapInArrow(trimmed(sets_of), "f long, c long, g int, s binary")
     own_block = F.pmod(F.xxhash64("f"), F.col("g")).cast("int")
     dealt = full.withColumn("own", own_block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     large = F.col("g") > 1

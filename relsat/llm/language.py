@@ -70,7 +70,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return langs, np.array(tables, np.float32).T.reshape(BUCKETS, len(langs))
 
 
-def mixture(like: np.ndarray, doc: np.ndarray, n: int, rounds: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def mixture(like: np.ndarray, doc: np.ndarray, n: int, rounds: int = 8, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Each document's best language and its proportion, from log-likelihoods of its words."""
     best, score = np.full(n, -1), np.zeros(n)
     if not len(doc):
@@ -83,7 +83,7 @@ def mixture(like: np.ndarray, doc: np.ndarray, n: int, rounds: int = 12, most: i
     p = np.exp(np.maximum(like - top, -30.0)).astype(np.float64)
     k = p.shape[1]
 
-    def em(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         pi = mask / mask.sum(1, keepdims=True)
         for _ in range(rounds):
             r = pi[own] * p
@@ -91,13 +91,13 @@ def mixture(like: np.ndarray, doc: np.ndarray, n: int, rounds: int = 12, most: i
             pi = np.add.reduceat(r, starts) / words[:, None]
         return pi, np.add.reduceat(np.log((pi[own] * p).sum(1) + 1e-300), starts)
 
-    full, fit = em(np.ones((len(starts), k)))
+    full, fit = em(np.ones((len(starts), k)), rounds)
     order = np.argsort(-full, axis=1, kind="stable")
     chosen, value = full, fit - 0.5 * (k - 1) * np.log(words + 1) if k > most else np.full(len(starts), -np.inf)
     for size in range(1, min(most, k) + 1):
         mask = np.zeros((len(starts), k))
         np.put_along_axis(mask, order[:, :size], 1.0, 1)
-        pi, fit = em(mask)
+        pi, fit = em(mask, rounds if size > 1 else 0)
         now = fit - 0.5 * (size - 1) * np.log(words + 1)
         better = now > value + 1e-9
         chosen, value = np.where(better[:, None], pi, chosen), np.where(better, now, value)
@@ -115,7 +115,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = [], []
-        for part in slices(b, text, 12_000_000 // max(4, len(langs)) + 1):
+        for part in slices(b, text, 6_000_000 // max(4, len(langs)) + 1):
             texts = [t or "" for t in part.column(text).to_pylist()]
             h, first, doc = _grams(texts)
             if len(first) and langs:

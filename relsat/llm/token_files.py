@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from relsat.llm.common import table
+from relsat.llm.common import table, trimmed
 from relsat.operators.staging import new_path, staged
 
 END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 2048, 20, 1 << 19, 128
@@ -151,7 +151,7 @@ def ordered_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.record_batch({"part": pa.array(np.full(len(ids), part), pa.int32()), "at": pa.array(ends - size), "doc_id": b.column("i"), "n": pa.array(size), "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
         yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([at]), "doc_id": pa.nulls(1, pa.int64()), "n": pa.array([0]), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    return ranged.mapInArrow(run, TOKENS)
+    return ranged.mapInArrow(trimmed(run), TOKENS)
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:
@@ -296,7 +296,7 @@ def write_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
             yield close()
 
     path = path or new_path(spark, "blocks")
-    tokens.where("ids is not null").select("part", "at", "doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
+    tokens.where("ids is not null").select("part", "at", "doc_id", "ids").mapInArrow(trimmed(blocks), BLOCKS).write.option("compression", "none").parquet(path)
     return path, freq
 
 
