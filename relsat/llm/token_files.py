@@ -36,7 +36,7 @@ IDS = np.dtype("<u2")
 LOW = np.uint64(1 << 31)
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces whose ids a worker keeps, and the longest that it keeps (characters).
-CACHE_WORDS, CACHE_CHARS = 700_000, 40
+CACHE_WORDS, CACHE_CHARS = 500_000, 40
 
 
 class Words(dict):
