@@ -18,6 +18,7 @@ order of their number, nulls first, repeated numbers in the order of their encod
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,14 +43,15 @@ CACHE_WORDS, CACHE_CHARS = 500_000, 40
 class Words(dict):
     """Ids of the pieces between single blanks, as bytes; a missing piece is encoded by the library.
 
-    The tokenizer splits a text by a fixed pattern and encodes the parts one by one. No part
-    goes on over a blank that stands between two other characters than blanks; such a blank
-    begins a part. So the pieces, each with its blank, can be encoded one by one. The same
-    holds between a letter and one of TAILS. Texts with two blanks in a row go to the library
-    whole, as does everything if the tokenizer is of another kind.
+    The tokenizer splits a text by a fixed pattern and encodes the parts one by one. A blank
+    begins a part unless white space stands before it and white space or the end behind it.
+    So the pieces, each with its blank, can be encoded one by one. The same holds between a
+    letter and one of TAILS. Texts with a blank of the other kind (INNER) or an added token go
+    to the library whole, as does everything if the tokenizer is of another kind.
     """
 
     TAILS = frozenset(".,;:!?")
+    INNER = re.compile(r" (?<=[\s\u180e] )(?=[\s\u180e]|\Z)")
 
     def __init__(self, path: str) -> None:
         import json
@@ -64,6 +66,7 @@ class Words(dict):
             how = json.load(f)
         split = how.get("pre_tokenizer") or {}
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not how.get("normalizer")
+        self.added = [t["content"] for t in how.get("added_tokens") or []]
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -94,7 +97,7 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or "  " in text:
+        if not self.by_piece or self.INNER.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         pieces = text.split(" ")
         return (self[f"  {pieces[0]}"] if pieces[0] else b"") + b"".join(map(self.__getitem__, pieces[1:]))

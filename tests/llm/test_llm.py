@@ -205,7 +205,7 @@ def test_tokens_round_trip(spark, folder):
     t = Tokenizer.from_file(token_files.default_tokenizer())
     rng, words = random.Random(5), token_files.Words(token_files.default_tokenizer())
     for _ in range(3000):
-        x = "".join(rng.choice([" ", " ", "\n", "\t", "a", "Bc", "é", "1", ".", ",", "'s", "’", "漢", "²", "<|endoftext|>", "\x85", "_"]) for _ in range(rng.randint(0, 12)))
+        x = "".join(rng.choice([" ", " ", "\n", "\t", "a", "Bc", "é", "1", ".", ",", "'s", "’", "漢", "²", "<|endoftext|>", "\x85", "\xa0", "\u3000", "_"]) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(words.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
     at = 0
     for r in sorted(QUERIES["op7_token_files"](spark, folder).collect(), key=lambda r: r["doc_id"]):
