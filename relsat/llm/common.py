@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, and no others, so that extra columns never clash."""
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -43,25 +46,60 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL | None:
+    try:
+        c = ctypes.CDLL("libc.so.6")
+        c.mallopt(-3, 1 << 20)  # arrays from a megabyte on are mapped, and given back when they are freed
+        return c
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
 def trim() -> None:
     """Give a worker's unused memory back: workers are used again by later stages."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        return
+    if c := _c_library():
+        c.malloc_trim(0)
 
 
 def trimmed(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A partition function that gives unused memory back when it is done."""
+    """A partition function that holds little unused memory, and gives it back when it is done."""
 
     def run(*batches: Iterator) -> Iterator:
+        _c_library()
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from f(*batches)
         trim()
 
     return run
 
 
+def trimmed_group(f: Callable[[Any], Any]) -> Callable[[Any], Any]:
+    """The same for a function of one group."""
+
+    def run(group: Any) -> Any:
+        _c_library()
+        out = f(group)
+        if len(group) > 64:
+            trim()
+        return out
+
+    return run
+
+
+#: Bytes of an Arrow batch between the executors and their Python workers; Spark's default is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def tuned(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, unless it has a setting of its own: a batch lies in
+    the executor's direct memory and in the worker, several times over while it is copied."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,11 +124,13 @@ def slices(b: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
 def fraction_of(df: DataFrame, group: Column, bound: int, key: Column) -> DataFrame:
     """About ``bound`` rows of each group at most, chosen by a hash of ``key``.
 
-    The counts are taken over all rows; the same rows are chosen in every run.
+    The counts are taken over all rows; the same rows are chosen in every run. Only groups that
+    exceed the bound are collected, so their number is below the rows divided by the bound.
     """
-    counts = {r["g"]: r["n"] for r in df.groupBy(group.alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(4096).collect()}
-    share = F.lit(1.0)
-    for g, n in counts.items():
-        if n > bound:
-            share = F.when(group.eqNullSafe(F.lit(g)), F.lit(bound / n)).otherwise(share)
+    over = df.groupBy(group.alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > bound).orderBy("g").collect()
+    shares = {r["g"]: bound / r["n"] for r in over}
+    share = F.lit(shares.pop(None, 1.0))
+    if shares:
+        named = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
+        share = F.when(group.isNull(), share).otherwise(F.coalesce(named[group], F.lit(1.0)))
     return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < share * float(1 << 30))

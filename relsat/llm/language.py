@@ -2,16 +2,21 @@
 
 Every word of a text is drawn from one of the text's languages. A word's likelihood in a
 language comes from letter trigrams; expectation-maximisation estimates the document's
-language proportions; nested language sets are compared by penalised likelihood.
-
-Nulls and texts without a letter give ``und`` with score 0. Rows repeat as they come; extra
-columns are not read. An empty table gives an empty result; without any learnable row every
-document is ``und``. Equal proportions go to the language that sorts first.
+language proportions; nested language sets (the most probable language, the two most probable
+ones, and so on up to all) are compared by likelihood less half the logarithm of the words for
+each language beyond the first. The likelihood is concave in the proportions, so its gradient
+bounds what more rounds, or any larger set, could still give: rounds end when that is next to
+nothing, and sets that cannot win are not fitted.
+
+Nulls and texts without a letter (Unicode category L) give ``und`` with score 0. Texts of any
+length are read whole. Rows that repeat are judged one by one; a null document number is held
+out of nothing; extra columns are carried along by ``detect`` and not read. An empty table
+gives an empty result; without any learnable row every document is ``und``. Equal proportions
+go to the language that sorts first.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from relsat.llm.common import crc_of, fraction_of, per_batch, slices, table
 
 BUCKETS = 1 << 16
-#: Labelled documents of one language that training reads (about), and languages that are told apart.
-TRAIN_ROWS, MAX_LANGS = 3000, 256
-LETTER = re.compile(r"[^\W\d_]")
+#: Labelled documents of one language that training reads (about).
+TRAIN_ROWS = 3000
+#: Log-likelihood that further rounds may still give: of a text, and for each of its words.
+SLACK, SLACK_WORD = 0.1, 1e-6
 #: Bytes that are no part of a word become blanks.
 WORD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -57,9 +63,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             k = np.flatnonzero(c)
             yield pa.record_batch({"g": pa.array([g] * len(k), pa.string()), "k": pa.array(k, pa.int32()), "c": pa.array(c[k], pa.int64())})
 
-    # at most MAX_LANGS * BUCKETS short rows, whatever the corpus
+    # a row for each language, of at most BUCKETS pairs, whatever the corpus
     counted = sample.mapInArrow(count, "g string, k int, c long").groupBy("g", "k").agg(F.sum("c").alias("c"))
-    per_lang = counted.groupBy("g").agg(F.collect_list(F.struct("k", "c")).alias("kc")).orderBy("g").limit(MAX_LANGS)
+    per_lang = counted.groupBy("g").agg(F.collect_list(F.struct("k", "c")).alias("kc")).orderBy("g")
     langs, tables = [], []
     for r in per_lang.toLocalIterator():
         c = np.zeros(BUCKETS)
@@ -70,37 +76,60 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return langs, np.array(tables, np.float32).T.reshape(BUCKETS, len(langs))
 
 
-def mixture(like: np.ndarray, doc: np.ndarray, n: int, rounds: int = 8, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fitted(p: np.ndarray, starts: np.ndarray, mask: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation, document by document: proportions within ``mask``, their
+    log-likelihood, and a bound of the largest one.
+
+    ``p``: likelihoods of words; ``starts``: each document's first word. A document is done
+    when the bound is near, or is not above ``floor``.
+    """
+    m = len(starts)
+    pi, fit, bound = mask / mask.sum(1, keepdims=True), np.zeros(m), np.zeros(m)
+    live, size = np.arange(m), np.diff(np.r_[starts, len(p)])
+    while len(live):
+        own = np.repeat(np.arange(len(live)), size)
+        mix = (pi[live][own] * p).sum(1)
+        fit[live] = np.add.reduceat(np.log(mix), starts)
+        gain = np.add.reduceat(p / mix[:, None], starts) / size[:, None]
+        gap = size * (np.where(mask[live] > 0, gain, 0.0).max(1) - 1)
+        bound[live] = fit[live] + gap
+        go = (gap > SLACK + SLACK_WORD * size) & (bound[live] > floor[live])
+        pi[live[go]] *= gain[go]
+        if not go.all():
+            p, live, size = p[np.repeat(go, size)], live[go], size[go]
+            starts = np.cumsum(size) - size
+    return pi, fit, bound
+
+
+def mixture(like: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each document's best language and its proportion, from log-likelihoods of its words."""
     best, score = np.full(n, -1), np.zeros(n)
     if not len(doc):
         return best, score
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    seen = doc[starts]
-    own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(doc)]))
-    words = np.diff(np.r_[starts, len(doc)]).astype(float)
-    top = like.max(1, keepdims=True)
-    p = np.exp(np.maximum(like - top, -30.0)).astype(np.float64)
+    seen, size = doc[starts], np.diff(np.r_[starts, len(doc)])
+    p = np.exp(np.maximum(like - like.max(1, keepdims=True), -30.0)).astype(np.float64)
     k = p.shape[1]
-
-    def em(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        pi = mask / mask.sum(1, keepdims=True)
-        for _ in range(rounds):
-            r = pi[own] * p
-            r /= r.sum(1, keepdims=True) + 1e-300
-            pi = np.add.reduceat(r, starts) / words[:, None]
-        return pi, np.add.reduceat(np.log((pi[own] * p).sum(1) + 1e-300), starts)
-
-    full, fit = em(np.ones((len(starts), k)), rounds)
+    price = 0.5 * np.log(size + 1.0)
+    alone = np.add.reduceat(np.log(p), starts)
+    chosen, value = np.eye(k)[alone.argmax(1)], alone.max(1)
+    rows = np.arange(len(starts))
+    full, fit, bound = fitted(p, starts, np.ones((len(rows), k)), value + price)
     order = np.argsort(-full, axis=1, kind="stable")
-    chosen, value = full, fit - 0.5 * (k - 1) * np.log(words + 1) if k > most else np.full(len(starts), -np.inf)
-    for size in range(1, min(most, k) + 1):
-        mask = np.zeros((len(starts), k))
-        np.put_along_axis(mask, order[:, :size], 1.0, 1)
-        pi, fit = em(mask, rounds if size > 1 else 0)
-        now = fit - 0.5 * (size - 1) * np.log(words + 1)
-        better = now > value + 1e-9
-        chosen, value = np.where(better[:, None], pi, chosen), np.where(better, now, value)
+    for more in range(1, k):  # languages beyond the first
+        rows = rows[bound[rows] - more * price[rows] > value[rows]]
+        if not len(rows):
+            break
+        pi, got = full[rows], fit[rows]
+        if more < k - 1:
+            mask = np.zeros((len(rows), k))
+            np.put_along_axis(mask, order[rows, : more + 1], 1.0, 1)
+            words = np.zeros(len(starts), bool)
+            words[rows] = True
+            pi, got, _ = fitted(p[np.repeat(words, size)], np.cumsum(size[rows]) - size[rows], mask, value[rows] + more * price[rows])
+        got = got - more * price[rows]
+        better = got > value[rows] + 1e-9
+        chosen[rows[better]], value[rows[better]] = pi[better], got[better]
     best[seen], score[seen] = chosen.argmax(1), chosen.max(1)
     return best, score
 
@@ -108,14 +137,14 @@ def mixture(like: np.ndarray, doc: np.ndarray, n: int, rounds: int = 8, most: in
 def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Every row with its columns, the predicted language and that language's share of the text.
 
-    The model is broadcast: its size is fixed by MAX_LANGS and BUCKETS.
+    The model is broadcast: 4 * BUCKETS bytes for each language, whatever the corpus.
     """
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = [], []
-        for part in slices(b, text, 6_000_000 // max(4, len(langs)) + 1):
+        for part in slices(b, text, 4_000_000 // max(4, len(langs)) + 1):
             texts = [t or "" for t in part.column(text).to_pylist()]
             h, first, doc = _grams(texts)
             if len(first) and langs:
@@ -123,7 +152,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
             else:
                 best, score = np.full(len(texts), -1), np.zeros(len(texts))
             for t, k, s in zip(texts, best.tolist(), score.tolist()):
-                ok = k >= 0 and LETTER.search(t) is not None
+                ok = k >= 0 and any(map(str.isalpha, t))
                 names.append(langs[k] if ok else "und")
                 scores.append(min(1.0, max(0.0, s)) if ok else 0.0)
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang_col, score_col])
@@ -133,13 +162,13 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    out = F.pmod(crc_of(F.col("doc_id")), F.lit(3)) == 1
+    out = F.pmod(crc_of(F.col("doc_id")), F.lit(3)).eqNullSafe(1)
     found = detect(docs.select("doc_id", "text"), train(docs.where(~out)))
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keep the documents whose main language is known and makes up ``least`` of the text."""
-    out = F.pmod(crc_of(F.col("doc_id")), F.lit(3)) == 1
+    out = F.pmod(crc_of(F.col("doc_id")), F.lit(3)).eqNullSafe(1)
     found = detect(docs, train(docs.where(~out)), lang_col="__lang", score_col="__share")
     return found.where((F.col("__lang") != "und") & (F.col("__share") >= least)).drop("__lang", "__share")

@@ -127,6 +127,6 @@ def judge(docs: DataFrame, ranker: Ranker | None, doc_id: str = "doc_id", text:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
-    out = F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2
+    out = F.pmod(crc_of(F.col("doc_id")), F.lit(4)).eqNullSafe(2)
     scored = judge(docs, train(docs, labels.where(~out)))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
