@@ -48,6 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the staged tables that ``df`` reads; nothing may use them afterwards."""
+    read = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for spark, path in list(_written):
+        if path.rsplit("/", 1)[-1] in read:
+            _written.remove((spark, path))
+            remove(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
