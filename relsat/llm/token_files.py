@@ -4,8 +4,11 @@ Texts become ids of a public tokenizer, an end id follows each document. One fre
 over the whole corpus is shared by all blocks. A block holds whole documents and is encoded by
 itself: LANES interleaved coder states over one stream of 32-bit words, with the states and
 the stream position written down every CHECKPOINT symbols of a lane, so that a reader can
-start there, and a CRC-32 of the ids. Blocks are rows of Parquet files (format below), so any
-store that Spark reaches will do and Spark's commit protocol guards against lost executors.
+start there, and a CRC-32 of the ids. A folder holds three Parquet tables, so any store that
+Spark reaches will do and Spark's commit protocol guards against lost executors: ``table``
+(``id``, ``freq``: the shared frequencies), ``parts`` (``part``, ``base``, ``n_tokens``,
+``n_docs``: the ids before each range of documents, and what it has) and ``blocks``. Any
+session can read the folder by its path alone.
 
 Block row: ``part`` (range of document numbers), ``start`` (ids of the part before the block), ``n_tokens``, ``crc32`` (of all ids as little-endian u32),
 ``n_docs``, ``doc_ids`` (i64 array, little-endian), ``lengths`` (u32 array), ``payload``:
@@ -13,7 +16,10 @@ magic ``RTB1``, u32 lanes, u32 tokens, u32 checkpoints, u32 words, then for each
 u64 stream position and LANES u64 states, then the words.
 
 A null text is an empty one: its document is the end id alone. Documents stand in ascending
-order of their number, nulls first, repeated numbers in the order of their encoded ids.
+order of their number, nulls first, repeated numbers in the order of their texts' hashes and
+texts; rows equal in both are documents of their own. Texts of any length are encoded whole
+(a block ends with the document that fills it). Extra columns are not read. An empty table
+gives a folder without blocks and an empty result.
 """
 
 from __future__ import annotations
@@ -25,19 +31,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from relsat.llm.common import table, trimmed
-from relsat.operators.staging import new_path, staged
+from relsat.llm.common import slices, table, trimmed, tuned
+from relsat.operators.staging import forget, new_path, staged
 
-END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 2048, 20, 1 << 19, 128
+END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 1024, 20, 1 << 19, 128
 #: How ids lie in the staged table; the vocabulary must fit, and be smaller than 2**SCALE.
 IDS = np.dtype("<u2")
 LOW = np.uint64(1 << 31)
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces whose ids a worker keeps, and the longest that it keeps (characters).
-CACHE_WORDS, CACHE_CHARS = 500_000, 40
+#: Bytes of pieces and ids that a worker keeps (with about 100 of overhead for each piece), and
+#: the longest piece that it keeps (characters).
+CACHE_BYTES, CACHE_CHARS = 90_000_000, 40
+#: Ranges of documents whose first places are broadcast at most; ranges that are summed up in one task.
+MAX_PARTS, RUN_PARTS = 500_000, 4096
 
 
 class Words(dict):
@@ -59,6 +69,7 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.room = CACHE_BYTES
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > np.iinfo(IDS).max:
             raise ValueError(f"the ids of {path} do not fit {IDS}")
@@ -83,8 +94,10 @@ class Words(dict):
             return self[parts[0] if bare is None else f"  {parts[0]}"] + b"".join(self.mark("\n") + self[f"  {p}"] for p in parts[1:])
         ids = self.whole(f" {piece}" if bare is None else bare)
         if len(text) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            self.room -= 200 + len(piece) + len(ids)
+            if self.room < 0:
                 self.clear()
+                self.room = CACHE_BYTES
             self[piece] = ids
         return ids
 
@@ -129,7 +142,8 @@ def ordered_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = docs.count()
     parts = max(1, min(n, max(shuffle, n // 20_000)))
-    ranged = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t")).repartitionByRange(parts, "i").sortWithinPartitions("i", "t")
+    keyed = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.col(text).alias("t"))
+    ranged = keyed.repartitionByRange(parts, "i", "h").sortWithinPartitions("i", "h", "t").select("i", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -142,8 +156,7 @@ def ordered_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         last = np.array([end], IDS).tobytes()
         total = np.zeros(1, np.int64)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
+            for b in slices(whole, "t", 1 << 20):
                 ids = [encode(t or "") + last for t in b.column("t").to_pylist()]
                 size = np.array([len(x) // IDS.itemsize for x in ids], np.int64)
                 ends = at + np.cumsum(size)
@@ -265,14 +278,34 @@ BLOCKS = "part int, start long, n_tokens long, crc32 long, n_docs int, doc_ids b
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("crc32", pa.int64()), ("n_docs", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
 
 
-def write_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, tokenizer: str | None = None) -> tuple[str, np.ndarray]:
-    """Encode every document into block files; returns their folder and the frequencies."""
+def manifest(tokens: DataFrame) -> DataFrame:
+    """``part``, ``base``, ``n_tokens`` and ``n_docs`` of each range: sums over runs of ranges,
+    then inside each run, so that no task meets more than RUN_PARTS of them and the runs."""
+    sizes = tokens.groupBy("part").agg(F.sum("n").alias("n_tokens"), F.count("ids").alias("n_docs")).withColumn("run", F.floor(F.col("part") / RUN_PARTS))
+    sizes = staged(sizes, "sizes")
+    runs = sizes.groupBy("run").agg(F.sum("n_tokens").alias("n"))
+    before = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("first"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("run").orderBy("part")) - F.col("n_tokens")
+    return sizes.withColumn("inside", inside).join(before, "run").select("part", (F.col("first") + F.col("inside")).alias("base"), "n_tokens", "n_docs")
+
+
+def write_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, tokenizer: str | None = None) -> str:
+    """Encode every document into a folder of block files, and return the folder.
+
+    Without a ``path`` it lies in the shared folder and goes with the session.
+    """
     spark = docs.sparkSession
+    tuned(spark)
+    path = path or new_path(spark, "token-files")
     tokens = staged(ordered_tokens(docs, doc_id, text, tokenizer), "tokens", "zstd")
     freq = scaled(frequencies(tokens))
-    shared = spark.sparkContext.broadcast((freq, np.cumsum(freq) - freq))
+    used = np.flatnonzero(freq)
+    spark.createDataFrame(pd.DataFrame({"id": used.astype(np.int32), "freq": freq[used]}), "id int, freq long").coalesce(1).write.parquet(f"{path}/table")
+    manifest(tokens).write.parquet(f"{path}/parts")
+    shared = spark.sparkContext.broadcast((freq, np.cumsum(freq) - freq))  # one number for each id of the vocabulary
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.cache_clear()  # the pieces of the encoding tasks
         where: tuple[int, int] | None = None  # range and place of the block's first document
         numbers: list[int] = []
         held: list[bytes] = []
@@ -285,43 +318,52 @@ def write_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
             where, numbers, held, size = None, [], [], 0
             return pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
 
-        for b in batches:
-            for part, at, i, x in zip(*(b.column(c).to_pylist() for c in ("part", "at", "doc_id", "ids"))):
-                if held and (where[0] != part or where[1] + size != at):  # another range or file  # type: ignore[index]
-                    yield close()
-                where = where or (part, at)
-                numbers.append(NULL if i is None else i)
-                held.append(x)
-                size += len(x) // IDS.itemsize
-                if size >= BLOCK_TOKENS:
-                    yield close()
+        for whole in batches:
+            for b in slices(whole, "ids", 1 << 20):
+                for part, at, i, x in zip(*(b.column(c).to_pylist() for c in ("part", "at", "doc_id", "ids"))):
+                    if held and (where[0] != part or where[1] + size != at):  # another range or file  # type: ignore[index]
+                        yield close()
+                    where = where or (part, at)
+                    numbers.append(NULL if i is None else i)
+                    held.append(x)
+                    size += len(x) // IDS.itemsize
+                    if size >= BLOCK_TOKENS:
+                        yield close()
         if held:
             yield close()
 
-    path = path or new_path(spark, "blocks")
-    tokens.where("ids is not null").select("part", "at", "doc_id", "ids").mapInArrow(trimmed(blocks), BLOCKS).write.option("compression", "none").parquet(path)
-    return path, freq
+    tokens.where("ids is not null").select("part", "at", "doc_id", "ids").mapInArrow(trimmed(blocks), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    forget(tokens)
+    return path
 
 
 #: Stands for a null document number inside a block.
 NULL = -(1 << 63)
 
 
-def read_documents(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
-    """Each document as the block files have it: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
+def read_table(spark: SparkSession, path: str) -> np.ndarray:
+    """The frequencies of a folder, by id; as many numbers as the vocabulary has at most."""
+    rows = spark.read.parquet(f"{path}/table").toPandas()
+    freq = np.zeros(int(rows.id.max()) + 1 if len(rows) else 1, np.int64)
+    freq[rows.id.to_numpy()] = rows.freq.to_numpy()
+    return freq
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Each document as a folder has it: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
-    Every block is decoded by itself and held against its checksum. The parts' sizes, one row
-    for each file, give the number of ids before a part.
+    Every block is decoded by itself and held against its checksum.
     """
-    blocks = spark.read.schema(BLOCKS).parquet(path)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    freq = read_table(spark, path)
     shared = spark.sparkContext.broadcast((freq, np.cumsum(freq) - freq))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
+        for whole in batches:
+            for r in (x for b in slices(whole, "payload", 1 << 20) for x in b.to_pylist()):
                 ids = decode_block(r["payload"], *shared.value).astype("<u4")
                 raw = ids.tobytes()
-                if zlib.crc32(raw) != r["crc32"]:
+                if len(ids) != r["n_tokens"] or zlib.crc32(raw) != r["crc32"]:
                     raise ValueError(f"block {r['part']}/{r['start']} is damaged")
                 n = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 end = np.cumsum(n)
@@ -329,18 +371,16 @@ def read_documents(spark: SparkSession, path: str, freq: np.ndarray) -> DataFram
                 i = np.frombuffer(r["doc_ids"], "<i8")
                 yield pa.record_batch({"part": pa.array(np.full(len(n), r["part"]), pa.int32()), "doc_id": pa.array(i, pa.int64(), mask=i == NULL), "at": pa.array(r["start"] + end - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    docs = blocks.select("part", "start", "crc32", "doc_ids", "lengths", "payload").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = blocks.select("part", "start", "n_tokens", "crc32", "doc_ids", "lengths", "payload").mapInArrow(trimmed(run), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    base = spark.read.parquet(f"{path}/parts").select("part", "base")
+    base = F.broadcast(base) if base.count() <= MAX_PARTS else base
+    return docs.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, freq = write_blocks(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return read_documents(spark, path, freq)
+    return read_documents(spark, write_blocks(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """Write the corpus as token blocks; the rows are the documents as the files have them."""
-    path, freq = write_blocks(docs)
-    return read_documents(spark, path, freq)
+    return read_documents(spark, write_blocks(docs, path=path))
