@@ -7,26 +7,33 @@ sampled suffix positions, and the spans merged. A shard is a run of rows of one
 
 Words outside the benchmark's vocabulary are in no phrase, so the index holds each run of them
 as one separator, and leaves out runs of vocabulary words that are shorter than every phrase.
-The benchmark is collected in blocks of BLOCK_CHARS characters, one pass over the corpus each;
-the blocks' size, not the benchmark's, bounds what is broadcast.
-
-Null and empty texts have no words. Items without words or without a number have no phrase;
-repeated items count once. Repeated document rows are judged one by one.
+The benchmark is read in blocks of about BLOCK_CHARS characters, long items cut at words into
+overlapping pieces, with one pass over the corpus for each block; the block's size, not the
+benchmark's, bounds what is broadcast.
+
+Null and empty texts have no words. Items without words have no phrase; all items without a
+number are one item that is not named; repeated items count once. Repeated document rows, with
+or without a number, are judged one by one. Texts of any length are searched whole: a shard
+ends with the document that fills it. Extra columns are carried along by ``stage`` and not
+read. An empty benchmark hits nothing; an empty corpus gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import table, trimmed
+from relsat.llm.common import UPPER, LOWER, slices, table, trimmed, tuned
 from relsat.llm.fm_index import FMIndex
+from relsat.operators.staging import forget, staged
 
-WINDOW, SHARD_WORDS, BLOCK_CHARS = 10, 1_000_000, 8_000_000
+WINDOW, SHARD_WORDS, BLOCK_CHARS, PIECE_WORDS = 10, 500_000, 4_000_000, 100_000
+#: A word of items and documents, as a Java pattern; the bytes that make up words, lower-cased.
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -37,17 +44,17 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Phrases:
     """The windows of a block of items: a vocabulary, padded symbol rows, and each row's items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: Iterable[tuple[str | None, str]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
-        self.items = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.items)}
+        number: dict[str | None, int] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text.encode("utf-8", "replace"))]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                rows.setdefault(tuple(ids[at : at + window]), set()).add(number[item])
+                rows.setdefault(tuple(ids[at : at + window]), set()).add(number.setdefault(item, len(number)))
+        self.items = list(number)
         self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.zeros((len(rows), window), np.int64)
+        self.rows = np.zeros((len(rows), window), np.int32)
         for k, r in enumerate(rows):
             self.rows[k, : len(r)] = r
         self.least = int(self.lengths.min()) if rows else 0
@@ -104,7 +111,7 @@ def scan_block(docs: DataFrame, phrases: Phrases, text: str, carry: list[str]) -
         np.add.at(diff, pos, 1)
         np.add.at(diff, pos + p.lengths[phrase], -1)
         doc = np.searchsorted(begin, pos, "right") - 1
-        found: dict[int, set[str]] = {}
+        found: dict[int, set[str | None]] = {}
         if len(pos):
             for d, ph in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
                 found.setdefault(d, set()).update(p.items[i] for i in p.owners[p.owner_at[ph] : p.owner_at[ph + 1]].tolist())
@@ -128,7 +135,7 @@ def scan_block(docs: DataFrame, phrases: Phrases, text: str, carry: list[str]) -
         at = 0
         for b, ds in held:
             spans = [spans_of.get(at + k, []) for k in range(len(ds))]
-            new = [pa.array([len(d) for d in ds], pa.int64()), pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()), pa.array([sorted(found.get(at + k, ())) for k in range(len(ds))], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
+            new = [pa.array([len(d) for d in ds], pa.int64()), pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()), pa.array([sorted(found.get(at + k, ()), key=lambda i: (i is not None, i or "")) for k in range(len(ds))], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *new], [*carry, "__words", "__hit", "__items", "__spans"])
             at += len(ds)
 
@@ -137,8 +144,7 @@ def scan_block(docs: DataFrame, phrases: Phrases, text: str, carry: list[str]) -
         size = 0
         get = shared.value.vocabulary.get
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, text, 1 << 20):
                 ds = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in map(words_of, b.column(text).cast(pa.binary()).to_pylist())]
                 size += sum(map(len, ds))
                 held.append((b, ds))
@@ -153,15 +159,29 @@ def scan_block(docs: DataFrame, phrases: Phrases, text: str, carry: list[str]) -
     return docs.mapInArrow(trimmed(run), shape)
 
 
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def pieces(items: DataFrame, item_id: str, item_text: str, window: int, most: int = PIECE_WORDS) -> DataFrame:
+    """``i`` and ``t`` of the items; an item of more than ``most`` windows in pieces that hold
+    each of its windows once."""
+    words = F.regexp_extract_all(F.translate(item_text, UPPER, LOWER), F.lit(ITEM_WORD), F.lit(0))
+    w = items.select(F.col(item_id).cast("string").alias("i"), words.alias("w")).where("size(w) > 0")
+    cut = w.select("i", "w", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.size("w") - window, F.lit(0))) / most))).alias("j"))
+    return cut.select("i", F.array_join(F.slice("w", (F.col("j") * most + 1).cast("int"), F.lit(most + window - 1)), " ").alias("t"))
+
+
+def scan(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """``carry`` (all columns by default) with ``__words``, ``__hit``, ``__items`` and ``__spans``."""
+    tuned(docs.sparkSession)
     carry = docs.columns if carry is None else carry
-    known = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    known = staged(pieces(items, item_id, item_text, window, piece_words).distinct(), "items")
     blocks = max(1, -(-int(known.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
     for k in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        phrases = Phrases([(r["i"], r["t"]) for r in part.toLocalIterator()], window)
-        docs = scan_block(docs, phrases, text, carry if k == blocks - 1 else list(dict.fromkeys([*carry, text])))
+        part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        before, last = docs, k == blocks - 1
+        docs = scan_block(docs, Phrases(((r["i"], r["t"]) for r in part.toLocalIterator()), window), text, carry if last else list(dict.fromkeys([*carry, text])))
+        if not last:  # passes are not nested: a task holds one block's phrases
+            docs = staged(docs, "pass")
+            if k:
+                forget(before)
     return docs
 
 

@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import crc_of, fraction_of, per_batch, slices, table
+from relsat.llm.common import crc_of, fraction_of, per_batch, slices, table, tuned
 
 BUCKETS = 1 << 16
 #: Labelled documents of one language that training reads (about).
 TRAIN_ROWS = 3000
 #: Log-likelihood that further rounds may still give: of a text, and for each of its words.
-SLACK, SLACK_WORD = 0.1, 1e-6
+SLACK, SLACK_WORD = 0.02, 1e-6
 #: Bytes that are no part of a word become blanks.
 WORD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -169,6 +169,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keep the documents whose main language is known and makes up ``least`` of the text."""
+    tuned(spark)
     out = F.pmod(crc_of(F.col("doc_id")), F.lit(3)).eqNullSafe(1)
     found = detect(docs, train(docs.where(~out)), lang_col="__lang", score_col="__share")
     return found.where((F.col("__lang") != "und") & (F.col("__share") >= least)).drop("__lang", "__share")
