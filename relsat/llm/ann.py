@@ -3,14 +3,21 @@
 Nearness is the inner product. Vectors get one more component that makes their lengths equal,
 which turns the largest inner product into the smallest distance. A balanced clustering of a
 bounded sample gives the centroids; every vector is written to its nearest list and, near a
-boundary, to up to REPLICAS lists whose distance is within (1 + SLACK) of the nearest. A query
-finds its lists by a walk over an in-memory graph of the centroids, keeps those within a
-distance ratio of the nearest one, and is joined with them in parts of bounded size.
-
-Equal vectors count as one: only the k + 1 smallest numbers of such a group can be among the
-nearest k, so the group never meets in one task. Vectors that are null, zero, of another
-length than most, or hold null or non-finite components take no part. Ties go to the smaller
-number; with fewer candidates than k, all are returned. Repeated numbers are kept apart.
+boundary, to up to REPLICAS lists whose distance is within (1 + SLACK) of the nearest. Vectors
+and queries find their lists by a walk over an in-memory graph of the centroids; a query keeps
+those within a distance ratio of the nearest one. SHELF neighbouring lists make a shelf, to
+which a vector and a query travel once, with a bit for each of its lists; a query is compared
+with the vectors that have a bit in common with it. Shelves are split by vectors and by
+queries into groups of bounded size.
+
+Equal vectors count as one: only the k + 1 first rows of such a group can be among the nearest
+k, so the group never meets in one task. Vectors that are null, zero, of another length than
+most, without a number, or hold null or non-finite components take no part; lengths may differ
+by any factor, for the index is fitted to scaled vectors. Scores that a double cannot hold are
+infinite, or NaN, which ranks last. Rows that repeat a number are rows of their own, as queries
+and as candidates, and a query's own row alone is left out. Ties go to the smaller number; with
+fewer candidates than k, all of those found are returned. Extra columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,37 +29,43 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from relsat.llm.common import table
+from relsat.llm.common import table, trimmed
 from relsat.operators.staging import staged
 
-K, SAMPLE, LIST_SIZE, MAX_LISTS, REPLICAS, SLACK, RATIO = 20, 40_000, 100, 8192, 4, 0.12, 1.6
-#: Lists that a query may probe: a fifth of all, PROBES at least. Vectors without any structure need
-#: as many for nine in ten true neighbours; the distance ratio leaves fewer where there is structure.
-PROBES, SHARE = 96, 0.2
-#: Up to so many centroids, the nearest ones of the vectors to be indexed are found by comparing all.
-COMPARED = 2048
-#: Vectors of one part of a list; neighbours of a centroid in the graph, and the walk's breadth.
-PART, NEIGHBOURS, BEAM, SEED = 4000, 24, 96, 8
+K, SAMPLE, MAX_LISTS, REPLICAS, SLACK, RATIO, SEED = 20, 40_000, 8192, 4, 0.12, 1.6, 8
+#: Lists for the square root of the vectors; the share of all lists that a query may probe. Vectors
+#: without any structure need as many for nine in ten true neighbours; the distance ratio leaves
+#: fewer where there is structure.
+DENSITY, SHARE = 4, 0.25
+#: Lists of a shelf; vectors and queries of one group.
+SHELF, PART, CHUNK = 16, 8000, 2000
+#: Neighbours of a centroid in the graph, breadth of a walk, numbers that a step may gather.
+NEIGHBOURS, BEAM, ROOM = 24, 32, 2_000_000
 
 
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
-    """Halve the largest cell at its median along its main direction, then refine each half."""
+    """Cells halved at their median along their main direction, down to even sizes; the means
+    of the cells, in the order of the halvings, so that neighbours stand near each other."""
     rng = np.random.default_rng(SEED)
-    cells = [np.arange(len(x))]
-    while len(cells) < lists:
-        cells.sort(key=len)
-        c = cells.pop()
-        if len(c) < 2:
-            cells.append(c)
-            break
+    out: list[np.ndarray] = []
+
+    def halve(c: np.ndarray, parts: int) -> None:
+        if parts < 2 or len(c) < 2:
+            out.append(x[c].mean(0))
+            return
         a, b = x[rng.choice(c, 2, replace=False)]
+        cut = len(c) * (parts // 2) // parts
         for _ in range(rounds):
-            side = x[c] @ (a - b)
-            order = np.argsort(side, kind="stable")
-            one, two = c[order[len(c) // 2 :]], c[order[: len(c) // 2]]
-            a, b = x[one].mean(0), x[two].mean(0)
-        cells += [one, two]
-    return np.array([x[c].mean(0) for c in cells])
+            order = np.argsort(x[c] @ (a - b), kind="stable")
+            low, high = c[order[:cut]], c[order[cut:]]
+            if not len(low):
+                break
+            a, b = x[high].mean(0), x[low].mean(0)
+        halve(low, parts // 2)
+        halve(high, parts - parts // 2)
+
+    halve(np.arange(len(x)), min(lists, len(x)))
+    return np.array(out)
 
 
 class Graph:
@@ -74,133 +87,204 @@ class Graph:
         self.links = np.concatenate((near, far), 1)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 48)).astype(np.int64))
 
-    def nearest(self, q: np.ndarray, most: int, beam: int = BEAM, compared: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of ``q`` up to ``most`` centroids, nearest first, with squared distances."""
-        n, m = len(self.c), len(q)
+    def nearest(self, q: np.ndarray, most: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of ``q`` up to ``most`` centroids, nearest first, with squared distances
+        (infinite where the walk saw fewer)."""
+        n = len(self.c)
         beam = min(max(beam, most), n)
-        if n <= max(2 * beam, compared):  # a walk would see most of them
-            d = self.sq[None, :] - 2 * q @ self.c.T + (q**2).sum(1)[:, None]
-            k = min(most, n)
-            o = np.argpartition(d, k - 1, axis=1)[:, :k]
-            o = np.take_along_axis(o, np.argsort(np.take_along_axis(d, o, 1), axis=1, kind="stable"), 1)
-            return o, np.maximum(np.take_along_axis(d, o, 1), 0)
-        qs = (q**2).sum(1)
-        seen = np.zeros((m, n), bool)
+        take = max(8, beam // 16)
+        rows = max(1, ROOM // (take * self.links.shape[1] * self.c.shape[1]))
+        got = [self._walk(q[at : at + rows], min(most, n), beam, take) for at in range(0, len(q), rows)]
+        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    def _walk(self, q: np.ndarray, most: int, beam: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+        m, qs = len(q), (q**2).sum(1)
+        seen = np.zeros((m, len(self.c)), bool)
         best = np.tile(self.entries, (m, 1))
         seen[:, self.entries] = True
         dist = self.sq[best] - 2 * q @ self.c[self.entries].T + qs[:, None]
         open_ = np.ones(best.shape, bool)
-        rows = np.arange(m)
         while True:
             score = np.where(open_, dist, np.inf)
-            take = min(4, score.shape[1])
-            pick = np.argpartition(score, take - 1, axis=1)[:, :take]
+            t = min(take, score.shape[1])
+            pick = np.argpartition(score, t - 1, axis=1)[:, :t]
             live = np.isfinite(np.take_along_axis(score, pick, 1))
             if not live.any():
                 break
             np.put_along_axis(open_, pick, False, 1)
-            nodes = np.where(live[:, :, None], self.links[np.take_along_axis(best, pick, 1)], -1).reshape(m, -1)
-            fresh = (nodes >= 0) & ~seen[rows[:, None], np.maximum(nodes, 0)]
-            r, c = np.nonzero(fresh)
-            seen[r, nodes[r, c]] = True
-            d = np.full(nodes.shape, np.inf)
-            d[r, c] = self.sq[nodes[r, c]] - 2 * np.einsum("ij,ij->i", q[r], self.c[nodes[r, c]]) + qs[r]
-            # a node that two links name counts once
-            o = np.argsort(nodes, axis=1, kind="stable")
-            dup = np.zeros(nodes.shape, bool)
-            np.put_along_axis(dup, o[:, 1:], np.take_along_axis(nodes, o, 1)[:, 1:] == np.take_along_axis(nodes, o, 1)[:, :-1], 1)
-            d[dup] = np.inf
-            best, dist, open_ = np.concatenate((best, nodes), 1), np.concatenate((dist, d), 1), np.concatenate((open_, np.isfinite(d)), 1)
-            keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam] if dist.shape[1] > beam else np.argsort(dist, axis=1)
-            best, dist, open_ = (np.take_along_axis(a, keep, 1) for a in (best, dist, open_))
+            r, c = np.nonzero(live)
+            nodes = self.links[best[r, pick[r, c]]]
+            # every unseen node once for each row
+            key = np.unique((r[:, None] * len(self.c) + nodes).ravel())
+            r, v = key // len(self.c), key % len(self.c)
+            fresh = ~seen[r, v]
+            r, v = r[fresh], v[fresh]
+            if not len(r):
+                continue
+            seen[r, v] = True
+            d = self.sq[v] - 2 * np.einsum("ij,ij->i", q[r], self.c[v]) + qs[r]
+            count = np.bincount(r, minlength=m)
+            at = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            more, far = np.zeros((m, count.max()), np.int64), np.full((m, count.max()), np.inf)
+            more[r, at], far[r, at] = v, d
+            best, dist, open_ = np.concatenate((best, more), 1), np.concatenate((dist, far), 1), np.concatenate((open_, np.isfinite(far)), 1)
+            if dist.shape[1] > beam:
+                keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+                best, dist, open_ = (np.take_along_axis(a, keep, 1) for a in (best, dist, open_))
         o = np.argsort(dist, axis=1, kind="stable")[:, :most]
         return np.take_along_axis(best, o, 1), np.maximum(np.take_along_axis(dist, o, 1), 0)
 
 
+class Lists:
+    """What executors need to find the lists of vectors and queries; its size is fixed by MAX_LISTS."""
+
+    def __init__(self, graph: Graph, scale: float, longest: float) -> None:
+        self.graph, self.scale, self.longest = graph, scale, longest
+
+    def of_vectors(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of each posting."""
+        s = v / self.scale
+        tail = np.sqrt(np.maximum(self.longest - (s**2).sum(1, keepdims=True), 0))
+        near, d = self.graph.nearest(np.concatenate((s, tail), 1), REPLICAS)
+        r, c = np.nonzero(d <= d[:, :1] * (1 + SLACK) ** 2 + 1e-12)
+        return r, near[r, c]
+
+    def of_queries(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of each probe: queries are as long as the longest vector."""
+        q = np.pad(unit(v) * np.sqrt(self.longest), ((0, 0), (0, 1)))
+        near, d = self.graph.nearest(q, max(1, int(np.ceil(SHARE * len(self.graph.c)))))
+        r, c = np.nonzero(d <= d[:, :1] * RATIO**2 + 1e-12)
+        return r, near[r, c]
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one, of vectors of any length."""
+    s = v / np.abs(v).max(1, keepdims=True)
+    return s / np.sqrt((s**2).sum(1, keepdims=True))
+
+
+def shelved(r: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shelf and bits of the row's lists on that shelf."""
+    key, at = np.unique(r * (1 << 32) + lists // SHELF, return_inverse=True)
+    bits = np.zeros(len(key), np.int64)
+    np.bitwise_or.at(bits, at, 1 << (lists % SHELF))
+    return key >> 32, key & ((1 << 32) - 1), bits
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def packed(v: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    ends = (np.arange(len(v) + 1) * 8 * v.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(v).tobytes())])
+
+
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``id`` and ``v`` (doubles) of the rows that take part."""
     v = F.transform(vector, lambda c: c.cast("double"))
-    d = df.select(F.col(vec_id).alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
+    d = df.select(F.col(vec_id).cast("bigint").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     d = d.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0))
     sizes = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return d.where(F.size("v") == (sizes["n"] if sizes else 0))
 
 
+def fitted(groups: DataFrame, n: int, scale: float, longest: float) -> Lists:
+    """The centroids, from about SAMPLE different vectors that a hash chooses."""
+    share = F.lit(min(1.0, SAMPLE / n) * (1 << 20))
+    sample = groups.where(F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(1 << 20)) < share).select("v").toArrow()
+    if not sample.num_rows:
+        sample = groups.orderBy("h").select("v").limit(1).toArrow()
+    x = matrix(sample.column("v").combine_chunks()) / scale
+    x = x[np.lexsort(x.T)]
+    x = np.concatenate((x, np.sqrt(np.maximum(longest - (x**2).sum(1, keepdims=True), 0))), 1)
+    lists = max(1, min(MAX_LISTS, int(DENSITY * n**0.5), len(x) // 4))
+    return Lists(Graph(balanced_centroids(x, lists)), scale, longest)
+
+
 def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = K) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's nearest found."""
     spark = vectors.sparkSession
-    rows = staged(usable(vectors, vec_id, vector), "vectors")
+    # a row is known by its place in this table, which is written once
+    rows = staged(usable(vectors, vec_id, vector).withColumn("r", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
-    shape = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], shape)
-    longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()[0]
-    # groups of equal vectors: the k + 1 smallest numbers, first in salted parts of a group
-    h = rows.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    part = h.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
-    copies = part.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
-    groups = staged(copies.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "groups")
-    share = min(1.0, SAMPLE / n)
-    sample = groups.where(F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20)).select("v").limit(2 * SAMPLE).toPandas()
-    x = np.array(sample.v.tolist()) if len(sample) else np.array(groups.select("v").limit(1).toPandas().v.tolist())
-    x = np.concatenate((x, np.sqrt(np.maximum(longest - (x**2).sum(1, keepdims=True), 0))), 1)
-    graph = Graph(balanced_centroids(x, max(1, min(MAX_LISTS, n // LIST_SIZE, len(x) // 4 or 1))))
-    shared = spark.sparkContext.broadcast((graph, float(longest)))  # MAX_LISTS centroids at most
-
-    def lists_of(probe: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, top = shared.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
-                    v = np.array(b.column("v").to_pylist())
-                    tail = np.zeros((len(v), 1)) if probe else np.sqrt(np.maximum(top - (v**2).sum(1, keepdims=True), 0))
-                    near, d = g.nearest(np.concatenate((v, tail), 1), max(PROBES, int(SHARE * len(g.c)))) if probe else g.nearest(np.concatenate((v, tail), 1), REPLICAS, compared=COMPARED)
-                    near_by = d <= d[:, :1] * ((RATIO if probe else 1 + SLACK) ** 2) + 1e-12
-                    r, c = np.nonzero(near_by)
-                    yield pa.RecordBatch.from_arrays([pa.array(near[r, c], pa.int32()), b.column(0).take(pa.array(r)), b.column("v").take(pa.array(r))], ["l", b.schema.names[0], "v"])
-
-        return run
-
-    posted = staged(groups.select("ids", "v").mapInArrow(lists_of(False), "l int, ids array<long>, v array<double>"), "postings")
-    # one row for each list: MAX_LISTS at most
-    parts = F.broadcast(posted.groupBy("l").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
-    dealt = posted.join(parts, "l").withColumn("p", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")).cast("int"))
-    queries = rows.where(F.col("id") % every == 0).select("id", "v")
-    asked = queries.mapInArrow(lists_of(True), "l int, id long, v array<double>").join(parts, "l")
-    asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    scale = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / scale) * (c / scale)))).first()[0]
+    # groups of equal vectors: the k + 1 first rows, first in salted parts of a group
+    h = rows.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(64)))
+    part = h.withColumn("at", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("id", "r"))).where(F.col("at") <= k + 1)
+    copies = part.withColumn("at", F.row_number().over(Window.partitionBy("h", "v").orderBy("id", "r"))).where(F.col("at") <= k + 1)
+    groups = copies.groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("id", "r"))).alias("both"))
+    groups = staged(groups.select("h", "v", F.col("both.id").alias("ids"), F.col("both.r").alias("rs")), "groups")
+    shared = spark.sparkContext.broadcast(fitted(groups, n, float(scale), float(longest)))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                v = matrix(b.column("v"))
+                r, shelf, bits = shelved(*shared.value.of_vectors(v))
+                yield pa.RecordBatch.from_arrays([pa.array(shelf, pa.int32()), pa.array(bits), b.column("ids").take(pa.array(r)), b.column("rs").take(pa.array(r)), packed(v[r])], ["shelf", "bits", "ids", "rs", "v"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                v = matrix(b.column("v"))
+                r, shelf, bits = shelved(*shared.value.of_queries(v))
+                yield pa.RecordBatch.from_arrays([pa.array(shelf, pa.int32()), pa.array(bits), b.column("id").take(pa.array(r)), b.column("r").take(pa.array(r)), packed(v[r])], ["shelf", "bits", "id", "r", "v"])
+
+    posted = staged(groups.select("ids", "rs", "v").mapInArrow(trimmed(post), "shelf int, bits long, ids array<long>, rs array<long>, v binary"), "postings")
+    queries = rows.where(F.col("id") % every == 0).select("id", "r", "v")
+    asked = staged(queries.mapInArrow(trimmed(probe), "shelf int, bits long, id long, r long, v binary"), "probes")
+    # one row for each shelf: MAX_LISTS / SHELF at most
+    sizes = posted.groupBy("shelf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(asked.groupBy("shelf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "shelf")
+    sizes = F.broadcast(staged(sizes, "shelves"))
+    dealt = posted.join(sizes, "shelf").withColumn("p", F.pmod(F.xxhash64(F.element_at("rs", 1)), F.col("parts")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = asked.join(sizes, "shelf").withColumn("z", F.pmod(F.xxhash64("r"), F.col("chunks")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(q) and len(c):
-            c = c.assign(first=[i[0] for i in c.ids]).sort_values("first")
-            cv = np.array(c.v.tolist())
+            cv = np.frombuffer(b"".join(c.v), np.float64).reshape(len(c), -1)
+            scaled, c_bits = cv / shared.value.scale, c.bits.to_numpy()
             count = np.array([len(i) for i in c.ids])
-            ids, of = np.concatenate(c.ids.to_list()), np.repeat(np.arange(len(c)), count)
+            ids, rs = np.concatenate(c.ids.to_list()), np.concatenate(c.rs.to_list())
+            first = np.cumsum(count) - count
+            # what rounding may do to a product of a unit vector
+            error = 4e-16 * (cv.shape[1] + 4) * float(np.sqrt((scaled**2).sum(1).max()))
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
-                qv, qi = np.array(part.v.tolist()), part.id.to_numpy()
-                s = qv @ cv.T
+                qv, qr, qi = np.frombuffer(b"".join(part.v), np.float64).reshape(len(part), -1), part.r.to_numpy(), part.id.to_numpy()
+                s = unit(qv) @ scaled.T
+                s[(part.bits.to_numpy()[:, None] & c_bits[None, :]) == 0] = -np.inf
                 top = min(k + 1, s.shape[1])
                 bound = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-                r, j = np.nonzero(s >= bound[:, None] - 1e-9)
+                r, j = np.nonzero((s >= bound[:, None] - error) & (s > -np.inf))
                 m = count[j]
                 r2, j2 = np.repeat(r, m), np.repeat(j, m)
-                vec = ids[np.repeat(np.cumsum(count)[j] - m, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-                ok = vec != qi[r2]
-                r2, j2, vec = r2[ok], j2[ok], vec[ok]
-                exact = (qv[r2] * cv[j2]).sum(1)
-                o = np.lexsort((vec, -exact, r2))
-                r2, vec, exact = r2[o], vec[o], exact[o]
-                pos = np.arange(len(r2)) - np.searchsorted(r2, r2)
-                out.append((qi[r2[pos < k]], vec[pos < k], exact[pos < k]))
-        z = [np.concatenate(a) for a in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame({"query_id": z[0], "vec_id": z[1], "score": z[2]})
-
-    found = asked.groupBy("l", "p").cogroup(dealt.select("l", "p", "ids", "v").groupBy("l", "p")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    # a replicated vector is found in several lists; the rows of a query are at most k for each part probed
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                at2 = np.repeat(first[j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                ok = rs[at2] != qr[r2]
+                r2, j2, at2 = r2[ok], j2[ok], at2[ok]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = (qv[r2] * cv[j2]).sum(1)
+                o = np.lexsort((rs[at2], ids[at2], -np.where(np.isnan(exact), -np.inf, exact), r2))
+                r2, at2, exact = r2[o], at2[o], exact[o]
+                keep = np.arange(len(r2)) - np.searchsorted(r2, r2) < k
+                r2, at2 = r2[keep], at2[keep]
+                out.append((qr[r2], qi[r2], rs[at2], ids[at2], exact[keep]))
+        z = [np.concatenate(a) for a in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pd.DataFrame(dict(zip(("qr", "query_id", "vr", "vec_id", "score"), z)))
+
+    found = asked.select("shelf", "p", "z", "bits", "id", "r", "v").groupBy("shelf", "p", "z").cogroup(dealt.select("shelf", "p", "z", "bits", "ids", "rs", "v").groupBy("shelf", "p", "z"))
+    found = found.applyInPandas(nearest, "qr long, query_id long, vr long, vec_id long, score double")
+    # a replicated vector is found on several shelves; a query has k rows for each group it is in at most
+    best = found.dropDuplicates(["qr", "vr"])
+    value = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    rank = F.row_number().over(Window.partitionBy("qr").orderBy(value.desc(), "vec_id", "vr"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
