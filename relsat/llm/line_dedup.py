@@ -2,7 +2,8 @@
 
 A line goes if a line that stands earlier, by (doc_id, line number), equals it or is within
 one character edit of it. Lines are the parts of a text between line feeds; blank lines stay.
-Lines under MIN_CHARS characters are compared for equality only.
+The edit is allowed from ``min_chars`` characters on: in a shorter line (a number, a list item,
+a bracket) one other character makes another line. With 1 it is allowed in every line.
 
 1. Equal lines meet in one aggregate, which keeps the earliest place.
 2. Sound prefilters: of two lines within one edit either the first or the second half agrees,
@@ -14,7 +15,11 @@ Lines under MIN_CHARS characters are compared for equality only.
    place of either side is an aggregate, never pairs.
 4. The partner found is verified by edit distance on the texts.
 
-Null texts have no lines. Equal rows of one document number are told apart by text only.
+Null texts have no lines, and rows without a number no place: nothing is removed from them and
+they stand before nothing. Rows that repeat a number are one document: their lines of one line
+number have the same place. Of equally early partners the one with the smaller hash is taken.
+Lines and texts of any length are read whole. Extra columns are carried along by
+``dedup_lines`` and not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +30,13 @@ from relsat.llm.common import table
 from relsat.operators.staging import staged
 
 MIN_CHARS = 16
+#: Lines so frequent that there can be no more than that many are broadcast; their occurrences stay where they are.
+MAX_HOT = 20_000
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    placed = docs.where(F.col(doc_id).isNotNull())
+    return placed.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def _half_keys(n: Column, line: Column, length: Column) -> list[Column]:
@@ -97,17 +105,26 @@ def judged_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     distinct = staged(distinct, "lines")
     near = near_earlier(distinct, min_chars).withColumn("near", F.lit(True))
     # only repeated or near lines need their occurrences judged one by one
-    marked = distinct.select("k", "first", "times").join(near, "k", "left").where("times > 1 or near").select("k", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = lines.select("doc_id", "line_no", key.alias("k"))
-    joined = at.join(marked, "k", "left")
-    return joined.select("doc_id", "line_no", F.coalesce(F.col("first") != F.struct("doc_id", "line_no"), F.lit(False)).alias("copy"), F.coalesce("near", F.lit(False)).alias("near"))
+    marked = distinct.select("k", "first", "times").join(near, "k", "left").where("times > 1 or near").select("k", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = staged(marked, "marked")
+    often = (distinct.agg(F.sum("times")).first()[0] or 0) // MAX_HOT + 1
+    hot = marked.where(F.col("times") > often).select("k", F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))
+    at = lines.select("doc_id", "line_no", key.alias("k")).join(F.broadcast(hot), "k", "left")
+    # what is judged needs no partner: its key is spread, so that no task gets all of a line's occurrences
+    away = F.when(F.col("hot_first").isNotNull(), F.xxhash64("doc_id", "line_no")).otherwise(F.col("k"))
+    rest = marked.where(F.col("times") <= often).select(F.col("k").alias("at"), F.lit(False).alias("spread"), "first", "near")
+    joined = at.withColumn("at", away).withColumn("spread", F.col("hot_first").isNotNull()).join(rest, ["at", "spread"], "left")
+    first = F.coalesce("hot_first", "first")
+    return joined.select("doc_id", "line_no", F.coalesce(first != F.struct("doc_id", "line_no"), F.lit(False)).alias("copy"), F.coalesce("hot_near", "near", F.lit(False)).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with ``text`` rebuilt from the lines that stay; other columns as they are."""
     gone = judged_lines(docs, doc_id, text, min_chars).where("copy or near").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    both = docs.join(gone, docs[doc_id] == gone["__id"], "left")
+    lines = F.split(text, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    kept = F.transform("__stay", lambda i: F.get("__lines", i))
+    both = docs.join(gone, docs[doc_id] == gone["__id"], "left").withColumn("__lines", lines).withColumn("__stay", stay)
     return both.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
@@ -120,7 +137,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH l AS (SELECT doc_id, i - 1 AS line_no, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) t, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u WHERE trim(s[i], ' ') <> ''),
+WITH l AS (SELECT doc_id, i - 1 AS line_no, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) t, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u WHERE trim(s[i], ' ') <> ''),
 d AS (SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM l GROUP BY line),
 g AS (SELECT line, first, n, n AS g FROM d WHERE n >= 16 UNION ALL SELECT line, first, n, n - 1 FROM d WHERE n >= 16),
 h AS (SELECT *, 'p' || g || ':' || left(line, g // 2) AS half FROM g UNION ALL SELECT *, 's' || g || ':' || right(line, g - g // 2) FROM g),
