@@ -14,7 +14,7 @@ from relsat.functions.natives import prelude
 from relsat.operators.actions import Actions, check_args, check_bodies
 from relsat.operators.extract import Extracted, class_terms, enodes, extract, show
 from relsat.operators.match import MatchPlan, column, compile_heads, match
-from relsat.operators.staging import staged
+from relsat.operators.staging import mark, staged, sweep
 from relsat.operators.store import Store
 from relsat.sources import parser as p
 
@@ -55,7 +55,10 @@ class Engine:
         self.catalog.natives[name] = Native(tuple(args), value, function)
 
     def bind(self, name: str, df: DataFrame, types: Iterable[str], value: str | None = None, merge: str | None = None) -> Table:
-        """A relation, or with ``value`` a function, whose rows are those of ``df`` (columns in order)."""
+        """A relation, or with ``value`` a function, whose rows are those of ``df`` (columns in order).
+
+        Nulls are values that equal themselves when rows are stored; no pattern joins or compares them.
+        """
         types = tuple(types)
         if len(df.columns) != len(types) + (value is not None):
             raise WidthMismatch(f"{name}: {len(df.columns)} columns")
@@ -71,6 +74,10 @@ class Engine:
         self.store.insert(t, df.toDF(*names))
         self._close()
 
+    def fresh_id(self, n: int = 1) -> int:
+        """An id that no row has or will get; with ``n``, the first of so many."""
+        return self.store.reserve(n)
+
     def union_df(self, df: DataFrame) -> None:
         """Make the ids in the two columns of ``df`` equal."""
         self.store.union(df.toDF("a", "b"))
@@ -261,7 +268,7 @@ class Engine:
     def saturate(self, rules: list[RulePlan] | None = None, times: int | None = None) -> bool:
         """Rounds: all rules match the same state, then all bodies are applied and closed."""
         rules = self.rules if rules is None else rules
-        rounds = 0
+        rounds, began = 0, mark()
         while times is None or rounds < times:
             if self.max_rounds is not None and rounds >= self.max_rounds:
                 raise Diverged(f"no fixpoint after {rounds} rounds")
@@ -277,7 +284,10 @@ class Engine:
                 if r.simple or not m.isEmpty():
                     self.actions.apply(m, self._used(r), r.bodies)
             self._close()
-            if all(v <= now for v in self.store.changed.values()):
+            done = all(v <= now for v in self.store.changed.values())
+            if done or rounds % 8 == 0:  # versions of tables that no later round reads
+                sweep(began, *self.store.rows.values())
+            if done:
                 return True
             if self.max_rows is not None and (n := sum(self.store.rows[t].count() for t, v in self.store.changed.items() if v > now)) > self.max_rows:
                 raise Diverged(f"{n} rows after {rounds} rounds")

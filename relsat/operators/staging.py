@@ -57,6 +57,20 @@ def forget(df: DataFrame) -> None:
             remove(spark, path)
 
 
+def mark() -> int:
+    """A point in time, for ``sweep``."""
+    return len(_written)
+
+
+def sweep(since: int, *used: DataFrame) -> None:
+    """Remove what was staged after ``since`` and is read by none of ``used``."""
+    read = {f.rsplit("/", 2)[-2] for df in used for f in df.inputFiles()}
+    for spark, path in _written[since:]:
+        if path.rsplit("/", 1)[-1] not in read:
+            remove(spark, path)
+    _written[since:] = [x for x in _written[since:] if x[1].rsplit("/", 1)[-1] in read]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -2,7 +2,10 @@
 
 Every row carries ``ver``, the version of the store at which it last changed: a rule's delta is
 a filter on it, and a row whose ids changed is new again. Relations have a value column (the
-id of the fact) only once some pattern binds it.
+id of the fact) only once some pattern binds it. What is written meets only the rows of its
+own keys; a table is the rows of before without the keys that changed, and the changed rows,
+and is written anew after some such changes. A null in a bound or inserted table is a value
+that equals itself when rows are stored, while patterns never join or compare it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,20 @@ from relsat.operators.staging import staged
 DRIVER_EDGES = 50_000
 
 
+def same(df: DataFrame, other: DataFrame, keys: list[str], prefix: str) -> Column:
+    """Rows of equal keys, nulls included; ``other`` has the keys under a prefix."""
+    out = F.lit(True)
+    for c in keys:
+        out = out & df[c].eqNullSafe(other[f"{prefix}{c}"])
+    return out
+
+
+def matching(df: DataFrame, keys: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """``df`` with (left_semi) or without (left_anti) the keys of another table; nulls are equal."""
+    named = keys.select(*(F.col(c).alias(f"__m_{c}") for c in columns))
+    return df.join(named, same(df, named, columns, "__m_"), how)
+
+
 class Store:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
@@ -27,6 +44,7 @@ class Store:
         self.version = 1
         self.next_id = 1
         self.edges: list[DataFrame] = []
+        self.appends: dict[str, int] = {}
 
     def columns(self, t: Table) -> list[str]:
         return [*t.keys, *(["v"] if t.name in self.valued else [])]
@@ -59,17 +77,20 @@ class Store:
         """Distinct ``keys`` with a fresh id in ``v``: places in buckets plus the buckets' offsets."""
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         b = staged(keys.withColumn("bucket", F.pmod(F.xxhash64(*columns) if columns else F.lit(0), F.lit(n)).cast("int")), "fresh")
-        sizes = {r["bucket"]: r["count"] for r in b.groupBy("bucket").count().collect()}  # one row for each bucket
-        if not sizes:
-            return b.drop("bucket").withColumn("v", F.lit(0).cast("bigint")), 0
-        offset, base = F.lit(0), self.next_id
-        for k in sorted(sizes):
-            offset = F.when(F.col("bucket") == k, F.lit(base)).otherwise(offset)
-            base += sizes[k]
+        sizes = b.groupBy("bucket").count().orderBy("bucket").collect()  # one row for each bucket, as many as shuffle partitions
+        offsets, base = [], self.next_id
+        for r in sizes:
+            offsets.append((r["bucket"], base))
+            base += r["count"]
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(*columns) if columns else Window.partitionBy("bucket").orderBy("bucket"))
-        total = base - self.next_id
-        self.next_id = base
-        return b.withColumn("v", (offset + place - 1).cast("bigint")).drop("bucket"), total
+        first = F.broadcast(self.spark.createDataFrame(offsets, "bucket int, base bigint"))
+        total, self.next_id = base - self.next_id, base
+        return b.withColumn("place", place).join(first, "bucket").withColumn("v", (F.col("base") + F.col("place") - 1).cast("bigint")).drop("bucket", "place", "base"), total
+
+    def reserve(self, n: int) -> int:
+        """The first of ``n`` ids that nothing else will get."""
+        self.next_id += n
+        return self.next_id - n
 
     def need_values(self, t: Table) -> None:
         """Give a relation the ids of its facts."""
@@ -83,7 +104,7 @@ class Store:
         wanted = keys.select(*t.keys).distinct() if t.keys else keys.limit(1).select()
         old = self.rows[t.name]
         if t.keys:
-            missing = wanted.join(old.select(*t.keys), t.keys, "left_anti")
+            missing = matching(wanted, old, t.keys, "left_anti")
         else:
             missing = wanted if old.isEmpty() else None
         if missing is None:
@@ -91,8 +112,7 @@ class Store:
         fresh, n = self._numbered(missing if t.keys else missing.select(F.lit(0).alias("one")), t.keys or ["one"])
         if n:
             new = fresh.select(*t.keys, *(["v"] if t.name in self.valued else []), F.lit(self.version + 1).cast("bigint").alias("ver"))
-            self.rows[t.name] = old.unionByName(staged(new, t.name))
-            self.changed[t.name] = self.version + 1
+            self._append(t, old, staged(new, t.name))
 
     def lookup(self, t: Table, m: DataFrame, args: list[Column], out: str, create: bool) -> DataFrame:
         """``m`` with the value of ``t`` for ``args`` in column ``out``; get-or-create for ids."""
@@ -108,59 +128,67 @@ class Store:
 
     def insert(self, t: Table, rows: DataFrame) -> None:
         """Rows of keys, and of values where given. Conflicting ids become edges."""
-        new = self.version + 1
         if t.kind == "relation" or "v" not in rows.columns:
             if t.has_id and t.name in self.valued:
                 self.intern(t, rows)
                 return
             old = self.rows[t.name]
             if t.keys:
-                fresh = rows.select(*t.keys).distinct().join(old.select(*t.keys), t.keys, "left_anti")
+                fresh = matching(rows.select(*t.keys).distinct(), old, t.keys, "left_anti")
             else:
                 fresh = rows.limit(1).select() if old.isEmpty() else None
-            if fresh is None:
-                return
-            fresh = staged(fresh.withColumn("ver", F.lit(new).cast("bigint")), t.name)
-            if not fresh.isEmpty():
-                self.rows[t.name] = self._compacted(t, old.unionByName(fresh), old)
-                self.changed[t.name] = new
+            if fresh is not None:
+                fresh = staged(fresh.withColumn("ver", F.lit(self.version + 1).cast("bigint")), t.name)
+                if not fresh.isEmpty():
+                    self._append(t, old, fresh)
             return
-        both = self.rows[t.name].unionByName(rows.select(*t.keys, "v", F.lit(new).cast("bigint").alias("ver")))
-        self._merge(t, both)
+        self._merge(t, rows.select(*t.keys, "v"), self.rows[t.name])
 
-    def _compacted(self, t: Table, df: DataFrame, old: DataFrame, most: int = 12) -> DataFrame:
-        """After some appends, one table again: the plan of later rounds stays small."""
-        self.appends = getattr(self, "appends", {})
+    def _append(self, t: Table, old: DataFrame, fresh: DataFrame, most: int = 6) -> None:
+        """The rows of ``t`` are ``old`` and ``fresh``; after some appends they are written as one
+        table again, so that the plans of later rounds stay small."""
         self.appends[t.name] = self.appends.get(t.name, 0) + 1
+        both = old.unionByName(fresh)
         if self.appends[t.name] >= most:
             self.appends[t.name] = 0
-            return staged(df, t.name)
-        return df
-
-    def _merge(self, t: Table, rows: DataFrame) -> bool:
-        """One row for each key; returns whether ids met (their edges are kept)."""
+            both = staged(both, t.name)
+        self.rows[t.name] = both
+        self.changed[t.name] = self.version + 1
+
+    def _merge(self, t: Table, rows: DataFrame, old: DataFrame) -> None:
+        """Write ``rows`` (keys, and ``v`` where the table has values) over ``old``: one row for
+        each key, its value the merged one. Ids that meet become edges."""
+        new = F.lit(self.version + 1).cast("bigint").alias("ver")
         if t.name not in self.valued:
-            out = rows.groupBy(*t.keys).agg(F.min("ver").alias("ver")) if t.keys else rows.agg(F.min("ver").alias("ver")).where("ver is not null")
-            self.rows[t.name] = staged(out, t.name)
-        else:
-            pick = F.max(F.struct("v", (-F.col("ver")).alias("ver"))) if t.merge == "max" else F.min(F.struct("v", "ver"))
-            grouped = rows.groupBy(*t.keys).agg(pick.alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.collect_set("v").alias("all") if t.has_id and not t.merge else F.lit(None).alias("all"))
-            ver = -F.col("m.ver") if t.merge == "max" else F.col("m.ver")
-            kept = staged(grouped.select(*t.keys, F.col("m.v").alias("v"), ver.alias("ver"), *(["all"] if t.has_id and not t.merge else [])), t.name)
-            met = False
-            if t.has_id and not t.merge:
-                e = kept.where("size(all) > 1").select("v", F.explode("all").alias("o")).where("o <> v").selectExpr("v as a", "o as b")
-                if not e.isEmpty():
-                    self.edges.append(e)
-                    met = True
-                kept = kept.drop("all")
-            self.rows[t.name] = kept
-            if not kept.where(F.col("ver") > self.version).isEmpty():
-                self.changed[t.name] = self.version + 1
-            return met
-        if not self.rows[t.name].where(F.col("ver") > self.version).isEmpty():
-            self.changed[t.name] = self.version + 1
-        return False
+            fresh = matching(rows.select(*t.keys).distinct(), old, t.keys, "left_anti") if t.keys else rows.limit(1).select()
+            fresh = staged(fresh.select(*t.keys, new), t.name)
+            if not fresh.isEmpty() and (t.keys or old.isEmpty()):
+                self._append(t, old, fresh)
+            return
+        ids = t.has_id and not t.merge
+        pick = F.max if t.merge == "max" else F.min
+        own = rows.groupBy(*t.keys).agg(pick("v").alias("n"), F.max("v").alias("hi")).where("n is not null")
+        # only the touched rows of the old table meet the new values
+        now = own.select(*(F.col(c).alias(f"__n_{c}") for c in t.keys), "n", "hi")
+        both = now.join(old, same(old, now, t.keys, "__n_"), "left") if t.keys else now.join(old, F.lit(True), "left")
+        best = F.greatest("v", "n") if t.merge == "max" else F.least("v", "n")
+        both = both.select(*(F.col(f"__n_{c}").alias(c) for c in t.keys), F.col("v").alias("was"), best.alias("v"), "n", "hi")
+        fresh, other = "was is null or was <> v", "was is not null and was <> v"
+        both = staged(both if ids else both.where(fresh), t.name)
+        count = both.agg(*(F.count_if(F.expr(x)).alias(k) for k, x in (("fresh", fresh), ("other", other), ("met", "was <> n"), ("several", "hi <> n")))).first()
+        if ids and count["met"]:
+            self.edges.append(both.where("was <> n").selectExpr("least(was, n) as a", "greatest(was, n) as b"))
+        if ids and count["several"]:
+            # of several new ids for one key, each is equal to the least: edges, never lists
+            lead = both.where("hi <> n").select(*(F.col(c).alias(f"__n_{c}") for c in t.keys), F.col("n").alias("a"))
+            among = rows.join(lead, same(rows, lead, t.keys, "__n_") & (F.col("v") != F.col("a")))
+            self.edges.append(staged(among.select("a", F.col("v").alias("b")).distinct(), "edges"))
+        if not count["fresh"]:
+            return
+        rest = old
+        if count["other"]:
+            rest = matching(old, both.where(other), t.keys, "left_anti") if t.keys else old.limit(0)
+        self._append(t, rest, both.where(fresh).select(*t.keys, "v", new))
 
     def union(self, edges: DataFrame) -> None:
         self.edges.append(edges.where("a <> b"))
@@ -183,7 +211,7 @@ class Store:
             roots = staged(roots.where("id <> root"), "roots")
             for t in self.tables.values():
                 ids = [c for c in t.id_columns if c != "v" or t.name in self.valued]
-                if ids:
+                if ids and self.changed[t.name]:
                     self._rewrite(t, ids, roots)
 
     def _driver_roots(self, e: DataFrame) -> DataFrame:
@@ -202,14 +230,21 @@ class Store:
         return self.spark.createDataFrame([(x, find(x)) for x in list(parent)], "id bigint, root bigint")
 
     def _rewrite(self, t: Table, ids: list[str], roots: DataFrame) -> None:
-        df = self.rows[t.name].withColumn("moved", F.lit(False))
+        """Put the roots in place of ids; rows without such ids are left as they are."""
+        old = self.rows[t.name]
+        df = old
         for c in ids:
-            df = df.join(roots.select(F.col("id").alias(c), F.col("root").alias("__r")), c, "left").withColumn("moved", F.col("moved") | F.col("__r").isNotNull()).withColumn(c, F.coalesce("__r", c)).drop("__r")
-        df = staged(df, t.name)
-        if df.where("moved").isEmpty():
+            df = df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"__r_{c}")), c, "left")
+        hit = F.coalesce(*(F.col(f"__r_{c}") for c in ids)).isNotNull()
+        moved = staged(df.where(hit), "moved")
+        if moved.isEmpty():
             return
-        new = F.when(F.col("moved"), F.lit(self.version + 1)).otherwise(F.col("ver")).cast("bigint")
-        self._merge(t, df.withColumn("ver", new).select(*self.columns(t), "ver"))
+        # a row is known by its keys, as they were
+        rest = matching(old, moved, t.keys, "left_anti") if t.keys else old.limit(0)
+        now = moved.select(*(F.coalesce(f"__r_{c}", c).alias(c) if c in ids else F.col(c) for c in self.columns(t)))
+        self.rows[t.name] = rest
+        self.changed[t.name] = self.version + 1
+        self._merge(t, now, rest)
 
     def step(self) -> None:
         """Close the round: what was written is now the past."""
