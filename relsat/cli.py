@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,10 @@ from relsat.sources import parser as p
 from relsat.sources.modules import Modules
 
 
+#: Where the lines of interactive sessions are kept.
+HISTORY = Path.home() / ".relsat_history"
+
+
 def emit(engine: Engine, out: Callable[[str], object] = print) -> None:
     for w in engine.warnings:
         print(f"warning: {w}", file=sys.stderr)
@@ -29,6 +34,23 @@ def emit(engine: Engine, out: Callable[[str], object] = print) -> None:
     engine.warnings.clear()
 
 
+@contextmanager
+def history(path: Path, most: int = 1000) -> Iterator[None]:
+    """Lines that ``input`` reads can be called up again, those of earlier sessions too."""
+    try:
+        import readline
+    except ImportError:  # some systems have none
+        yield
+        return
+    readline.set_history_length(most)
+    if path.is_file():
+        readline.read_history_file(path)
+    try:
+        yield
+    finally:
+        readline.write_history_file(path)
+
+
 def interact(modules: Modules, read: Callable[[str], str] = input, out: Callable[[str], object] = print, folder: Path = Path(".")) -> None:
     """Read commands until ``exit``, ``quit`` or the end; unfinished ones go on in the next line."""
     engine, held = modules.engine, ""
@@ -75,14 +97,16 @@ def main(argv: list[str] | None = None) -> int:
                 modules.run(modules.known[a.main])
                 emit(modules.engine)
             else:
-                interact(modules, folder=path)
+                with history(HISTORY):
+                    interact(modules, folder=path)
         elif path is not None:
             if a.main:
                 raise RelsatError("--main needs a folder")
             modules.run(path)
             emit(modules.engine)
         else:
-            interact(modules)
+            with history(HISTORY):
+                interact(modules)
     except (RelsatError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

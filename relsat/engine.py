@@ -324,19 +324,26 @@ class Engine:
         m = match(self.store, plan, None, list(dict.fromkeys(c.names)))
         return m.select(*(F.col(column(n)).alias(n) for n in dict.fromkeys(c.names)))  # type: ignore[union-attr]
 
-    def query_terms(self, text: str) -> DataFrame:
-        """Like ``query``, with classes and values rendered as terms."""
+    def query_terms(self, text: str, cheapest: bool = False) -> DataFrame:
+        """Like ``query``, with classes and values rendered as terms: each class by its lowest term,
+        or with ``cheapest`` by the one that a greedy extraction gives, shared parts written out."""
         c = p.parse(text if text.lstrip().startswith("query") else f"query {text}")[0]
-        out = self.show(c)  # type: ignore[arg-type]
+        out = self.show(c, cheapest)  # type: ignore[arg-type]
         return out.select(*(F.col(column(n)).alias(n) for n in dict.fromkeys(c.names)))  # type: ignore[attr-defined]
 
-    def show(self, c: p.Query) -> DataFrame:
+    def show(self, c: p.Query, cheapest: bool = False) -> DataFrame:
         plan = compile_heads(self.catalog, c.heads)
         df = self.query_df(c)
         names = list(dict.fromkeys(c.names))
         df = df.select(*(F.col(f"`{n}`").alias(column(n)) for n in names))
         if any(plan.types[n] not in BASE for n in names):
-            terms = class_terms(self.catalog, self.store)
+            roots = None
+            df = staged(df, "bindings")
+            for n in names:
+                if plan.types[n] not in BASE:
+                    ids = df.select(F.col(column(n)).alias("class"))
+                    roots = ids if roots is None else roots.unionByName(ids)
+            terms = class_terms(self.catalog, self.store, roots, cheapest)  # type: ignore[arg-type]
             for n in names:
                 if plan.types[n] not in BASE:
                     df = df.join(terms.select(F.col("class").alias(column(n)), F.col("term").alias("__term")), column(n), "left").withColumn(column(n), F.coalesce("__term", F.lit("..."))).drop("__term")
@@ -362,7 +369,7 @@ class Engine:
         self._intern([full], ids, create=False)
         if full not in ids:
             missing = self._first_missing(full, ids)
-            return Extracted(f"<error: no matching row for '{missing}' with given arguments in e-graph>")
+            return Extracted(f"<error: {missing} has no row with these arguments>")
         return extract(self.catalog, self.store, ids[full], optimal, **options)  # type: ignore[arg-type]
 
     def _full_names(self, x: object) -> object:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -147,10 +148,10 @@ _CLOSED = "p(x, y) AS (SELECT x, y FROM e UNION SELECT p.x, e.y FROM p JOIN e ON
 
 
 def parents(spark: SparkSession, sf: str, name: str = "edge") -> Engine:
-    """A forest over the customers: each number's parent is a tenth of it."""
+    """A forest over the customers: each number's parent is a tenth of it. 0 would be its own
+    parent; the programs' guards leave that edge out."""
     e = Engine(spark)
-    c = read(spark, sf, "customer").where("c_custkey > 0")
-    e.bind(name, c.select("c_custkey", F.expr("c_custkey div 10").alias("up")), ["i64", "i64"])
+    e.bind(name, read(spark, sf, "customer").select("c_custkey", F.expr("c_custkey div 10").alias("up")), ["i64", "i64"])
     return e
 
 
@@ -160,34 +161,34 @@ def closure(name: str, program: str, sql: str) -> None:
         return parents(spark, sf).run_text("relation path(i64, i64) " + program).query("path(x, y) print(x, y)")
 
 
-closure("tc_linear", "rule edge(x, y) { set path(x, y) } rule path(x, z), edge(z, y) { set path(x, y) } run saturate", _PARENT + _CLOSED + "SELECT x, y FROM p")
-closure("tc_nonlinear", "rule edge(x, y) { set path(x, y) } rule path(x, z), path(z, y) { set path(x, y) } run saturate", _PARENT + _CLOSED + "SELECT x, y FROM p")
+closure("tc_linear", "rule edge(x, y), if x > 0i64 { set path(x, y) } rule path(x, z), edge(z, y), if z > 0i64 { set path(x, y) } run saturate", _PARENT + _CLOSED + "SELECT x, y FROM p")
+closure("tc_nonlinear", "rule edge(x, y), if x > 0i64 { set path(x, y) } rule path(x, z), path(z, y) { set path(x, y) } run saturate", _PARENT + _CLOSED + "SELECT x, y FROM p")
 _BOUNDED = "p(x, y, d) AS (SELECT x, y, 1 FROM e UNION SELECT p.x, e.y, d + 1 FROM p JOIN e ON p.y = e.x WHERE d < {}) SELECT DISTINCT x, y FROM p"
-closure("run_repeat_2", "rule edge(x, y) { set path(x, y) } rule path(x, z), edge(z, y) { set path(x, y) } run repeat 2", _PARENT + _BOUNDED.format(2))
-closure("rule_group", 'rule "base" edge(x, y) { set path(x, y) } rule "step" path(x, z), edge(z, y) { set path(x, y) } run saturate "base"', _PARENT.replace("RECURSIVE ", "").rstrip(", ") + " SELECT DISTINCT x, y FROM e")
-closure("run_program", 'rule "base" edge(x, y) { set path(x, y) } rule "step" path(x, z), edge(z, y) { set path(x, y) } run saturate { run-all }'.replace("{ run-all }", '{ saturate "base" repeat 1 "step" }'), _PARENT + _CLOSED + "SELECT x, y FROM p")
+closure("run_repeat_2", "rule edge(x, y), if x > 0i64 { set path(x, y) } rule path(x, z), edge(z, y), if z > 0i64 { set path(x, y) } run repeat 2", _PARENT + _BOUNDED.format(2))
+closure("rule_group", 'rule "base" edge(x, y), if x > 0i64 { set path(x, y) } rule "step" path(x, z), edge(z, y), if z > 0i64 { set path(x, y) } run saturate "base"', _PARENT.replace("RECURSIVE ", "").rstrip(", ") + " SELECT DISTINCT x, y FROM e")
+closure("run_program", 'rule "base" edge(x, y), if x > 0i64 { set path(x, y) } rule "step" path(x, z), edge(z, y), if z > 0i64 { set path(x, y) } run saturate { run-all }'.replace("{ run-all }", '{ saturate "base" repeat 1 "step" }'), _PARENT + _CLOSED + "SELECT x, y FROM p")
 
 
 @query("incremental", _PARENT + _CLOSED + "SELECT x, y FROM p")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     e = Engine(spark)
-    e.run_text("relation edge(i64, i64) relation path(i64, i64) rule edge(x, y) { set path(x, y) } rule path(x, z), path(z, y) { set path(x, y) }")
-    c = read(spark, sf, "customer").where("c_custkey > 0").select("c_custkey", F.expr("c_custkey div 10").alias("up"))
+    e.run_text("relation edge(i64, i64) relation path(i64, i64) rule edge(x, y), if x > 0i64 { set path(x, y) } rule path(x, z), path(z, y) { set path(x, y) }")
+    c = read(spark, sf, "customer").select("c_custkey", F.expr("c_custkey div 10").alias("up"))
     for part in ("c_custkey % 2 = 0", "c_custkey % 2 = 1"):  # two batches of facts, a run after each
         e.insert_df("edge", c.where(part))
         e.run_text("run saturate")
     return e.query("path(x, y) print(x, y)")
 
 
-_TREE = "SELECT CAST(n_nationkey AS BIGINT) AS x, CAST(100 + n_regionkey AS BIGINT) AS y FROM nation UNION ALL SELECT CAST(100 + r_regionkey AS BIGINT), CAST(1000 AS BIGINT) FROM region"
+_TREE = "SELECT CAST(1000 + s_suppkey AS BIGINT) AS x, CAST(100 + s_nationkey AS BIGINT) AS y FROM supplier UNION ALL SELECT CAST(100 + n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation"
 
 
 @query("same_generation", f"WITH RECURSIVE e AS ({_TREE}), g(a, b) AS (SELECT x.x, z.x FROM e x JOIN e z ON x.y = z.y UNION SELECT x.x, z.x FROM g JOIN e x ON x.y = g.a JOIN e z ON z.y = g.b) SELECT a, b FROM g")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    # the tree of all nations and regions: the result is quadratic in it
+    # suppliers below nations below regions: pairs of one region at one level
     e = Engine(spark)
-    below = read(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) as x", "cast(100 + n_regionkey as bigint) as y")
-    e.bind("up", below.union(read(spark, sf, "region").selectExpr("cast(100 + r_regionkey as bigint)", "1000L")), ["i64", "i64"])
+    below = read(spark, sf, "supplier").selectExpr("cast(1000 + s_suppkey as bigint) as x", "cast(100 + s_nationkey as bigint) as y")
+    e.bind("up", below.union(read(spark, sf, "nation").selectExpr("cast(100 + n_nationkey as bigint)", "cast(n_regionkey as bigint)")), ["i64", "i64"])
     return e.run_text("relation sg(i64, i64) rule up(a, p), up(b, p) { set sg(a, b) } rule up(a, p), sg(p, q), up(b, q) { set sg(a, b) } run saturate").query("sg(a, b) print(a, b)")
 
 
@@ -196,7 +197,7 @@ _PART_EDGES = "WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey // 2 AS y,
 
 def part_edges(spark: SparkSession, sf: str) -> Engine:
     e = Engine(spark)
-    p = read(spark, sf, "part").where("p_partkey > 0")
+    p = read(spark, sf, "part")  # the programs leave out the edges of 0, which would be loops
     df = p.select("p_partkey", F.expr("p_partkey div 2"), "p_size").union(p.select("p_partkey", F.expr("p_partkey div 3"), F.col("p_size") + 1))
     e.bind("edge", df, ["i64", "i64", "i32"])
     return e
@@ -206,7 +207,7 @@ for _n, _m in (("shortest_path", "min"), ("longest_path", "max")):
 
     @query(_n, _PART_EDGES + f"SELECT x, y, CAST({_m}(d) AS INTEGER) AS d FROM p GROUP BY x, y")
     def _(spark: SparkSession, sf: str, merge: str = _m) -> DataFrame:
-        return part_edges(spark, sf).run_text(f"function dist(i64, i64) -> i32 merge {merge} rule edge(x, y, w) {{ set dist(x, y) = w }} rule leteq d = dist(x, z), edge(z, y, w) {{ set dist(x, y) = add(d, w) }} run saturate").query("leteq d = dist(x, y) print(x, y, d)")
+        return part_edges(spark, sf).run_text(f"function dist(i64, i64) -> i32 merge {merge} rule edge(x, y, w), if x > 0i64 {{ set dist(x, y) = w }} rule leteq d = dist(x, z), edge(z, y, w), if z > 0i64 {{ set dist(x, y) = add(d, w) }} run saturate").query("leteq d = dist(x, y) print(x, y, d)")
 
 
 # --- classes
@@ -311,7 +312,47 @@ term("extract_greedy", "data T = A(i32) | B(i32) cost T.A = 10 cost T.B = 5 fact
 term("extract_let", _E + "fact set E.Mul(E.Add(E.Const(2i32), E.Const(2i32)), E.Const(2i32))", "extract Mul(Add(Const(2i32), Const(2i32)), Const(2i32))", "(let ([_t0 (E.Const 2)]) (E.Mul (E.Add _t0 _t0) _t0))")
 term("extract_optimal", "data E = Pair(E, E) | F(E) | G(E) | H(E) | S(i32) | L(i32) cost E.F = 1 cost E.G = 1 cost E.H = 1 cost E.S = 10 cost E.L = 8 fact set E.Pair(E.G(E.S(1i32)), E.F(E.S(1i32))) fact union E.G(E.S(1i32)) with E.H(E.L(1i32))", "extract optimal E.Pair(E.G(E.S(1i32)), E.F(E.S(1i32)))", "(let ([_t0 (E.S 1)]) (E.Pair (E.G _t0) (E.F _t0)))")
 term("extract_atom", "", "extract 42u64", "42")
-term("extract_missing", "data Option = Some(i32) | None fact set Option.Some(42i32)", "extract Option.Some(7i32)", "<error: no matching row for 'Option.Some' with given arguments in e-graph>")
+term("extract_missing", "data Tree = Leaf(i32) | Fork(Tree, Tree) fact set Tree.Leaf(42i32)", "extract Tree.Fork(Tree.Leaf(42i32), Tree.Leaf(7i32))", "<error: Tree.Leaf has no row with these arguments>")
+
+
+@query("extract_table", "SELECT p_partkey AS p, CASE WHEN p_size < 25 THEN '(T.Tag (T.Cheap ' || p_partkey || '))' ELSE '(T.Tag (T.Dear ' || p_partkey || '))' END AS v FROM part")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    # the cheapest term of a class for every part
+    e = engine(spark, sf, "part")
+    e.run_text("data T = Dear(i64) | Cheap(i64) | Tag(T) cost T.Dear = 7 cost T.Cheap = 3 cost T.Tag = 1 relation tagged(i64, T) rule part(p, _, _, _, s, _) { set tagged(p, T.Tag(T.Dear(p))) } rule part(p, _, _, _, s, _), if s < 25i32 { union T.Dear(p) with T.Cheap(p) } run saturate")
+    return e.query_terms("tagged(p, v) print(p, v)", cheapest=True).selectExpr("cast(p as bigint) as p", "v")
+
+
+@query("render_table", "SELECT DISTINCT '(Kind.Sized (Kind.B ' || p_brand || ') ' || p_size || ')' AS k FROM part")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = engine(spark, sf, "part")
+    e.run_text("data Kind = B(str) | Sized(Kind, i32) | Unused(Kind) rule part(_, _, b, _, s, _) { set Kind.Sized(Kind.B(b), s) } run saturate")
+    return e.query_terms("leteq k = Kind.Sized(_, _) print(k)")
+
+
+PROGRAMS = Path(__file__).parent / "programs"
+
+
+@query("module_load", _PARENT + _CLOSED + "SELECT x, y FROM p")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    # a program file that loads modules which load each other
+    from relsat.sources.modules import Modules
+
+    e = parents(spark, sf)
+    Modules(e).run(PROGRAMS / "go.rsat")
+    return e.query("path(x, y) print(x, y)")
+
+
+@query("module_folder", "SELECT DISTINCT p_brand AS b, p_size AS s FROM part")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    # a scanned folder, and one of its modules as the main one
+    from relsat.sources.modules import Modules
+
+    e = engine(spark, sf, "part")
+    modules = Modules(e)
+    modules.scan(PROGRAMS / "parts")
+    modules.run(modules.known["main_brands"])
+    return e.query("leteq k = Product.Brand(b), Product.Sized(k, s) print(b, s)")
 
 
 @query("query_term", "SELECT * FROM (VALUES ('(Expr.Const 1)'), ('(Expr.Const 2)'), ('(Expr.Add (Expr.Const 2) (Expr.Const 4))')) t(v)")

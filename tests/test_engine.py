@@ -116,6 +116,61 @@ def test_optimal_equals_brute_force():
         assert proven and dag_cost(0, chosen, costs) == want
 
 
+def test_optimal_with_cycles_equals_brute_force():
+    from itertools import product
+
+    from relsat.catalog import Table
+    from relsat.operators.extract import Node, cheapest, dag_cost, solve
+
+    def acyclic(x, chosen, above=()):
+        return x not in above and all(acyclic(c, chosen, (*above, x)) for c in chosen[x].children)
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(2, 5)
+        costs = {f"k{i}": rng.randint(0, 9) for i in range(4)}
+        nodes = {x: [Node(Table(f"k{rng.randrange(4)}", "constructor", ("T",) * len(c), "T"), c) for c in {tuple(rng.randrange(n) for _ in range(rng.randint(0, 2))) for _ in range(rng.randint(1, 3))}] for x in range(n)}
+        choices = [dict(zip(nodes, c)) for c in product(*nodes.values())]
+        want = min((dag_cost(0, c, costs) for c in choices if acyclic(0, c)), default=None)
+        greedy = cheapest(nodes, costs)
+        assert (0 in greedy) == (want is not None)
+        if want is not None:
+            chosen, proven = solve(0, nodes, greedy, costs)
+            assert proven and acyclic(0, chosen) and dag_cost(0, chosen, costs) == want
+
+
+@pytest.mark.parametrize("parts", [20, 70])
+def test_optimal_of_hundreds_of_classes(parts):
+    """A chain of small graphs, each solved by enumeration."""
+    from itertools import product
+
+    from relsat.catalog import Table
+    from relsat.operators.extract import Node, cheapest, dag_cost, solve
+
+    rng, nodes, want = random.Random(parts), {}, 0
+    costs = {f"k{i}": rng.randint(1, 9) for i in range(6)} | {"chain": 1}
+    node = lambda k, c: Node(Table(k, "constructor", ("T",) * len(c), "T"), c)
+    for i in range(parts):
+        first = 1000 + 6 * i
+        part = {first + x: [node(f"k{rng.randrange(6)}", tuple(first + rng.randrange(x + 1, 6) for _ in range(rng.randint(1, 3))) if x < 5 else ()) for _ in range(rng.randint(1, 3))] for x in range(6)}
+        want += 1 + min(dag_cost(first, dict(zip(part, c)), costs) for c in product(*part.values()))
+        nodes |= part
+        nodes[i] = [node("chain", (first, i + 1) if i < parts - 1 else (first,))]
+    chosen, proven = solve(0, nodes, cheapest(nodes, costs), costs)
+    assert proven and dag_cost(0, chosen, costs) == want
+
+
+def test_without_sharing_greedy_is_optimal():
+    from relsat.catalog import Table
+    from relsat.operators.extract import Node, cheapest, dag_cost, solve
+
+    leaf = lambda k: Node(Table(k, "constructor", ("i32",), "T"), (1,))
+    nodes = {x: [Node(Table("two", "constructor", ("T", "T"), "T"), (2 * x + 1, 2 * x + 2)), leaf("dear")] for x in range(200)} | {x: [leaf("cheap"), leaf("dear")] for x in range(200, 401)}
+    costs = {"two": 1, "cheap": 1, "dear": 500}
+    chosen, proven = solve(0, nodes, cheapest(nodes, costs), costs, budget=0)
+    assert proven and dag_cost(0, chosen, costs) == 401
+
+
 @pytest.mark.parametrize(
     "text, error",
     [
@@ -145,6 +200,107 @@ def test_rejected(spark, text, error):
         Engine(spark).run_text(text)
 
 
+def test_null_rows_saturate(spark):
+    e = Engine(spark, max_rounds=6)
+    e.bind("edge", spark.createDataFrame([(1, 2), (2, None), (None, 3)], "a int, b int"), ["i32", "i32"])
+    e.run_text("relation path(i32, i32) rule edge(x, y) { set path(x, y) } rule path(x, y) { set path(y, x) } run saturate")
+    assert e.query("path(x, y) print(x, y)").count() == 6
+
+
+def test_ids_at_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        e = Engine(spark)
+        e.bind("n", spark.range(300).selectExpr("cast(id as int)"), ["i32"])
+        e.run_text("data V = N(i32) rule n(x) { set V.N(x) } run saturate")
+        assert e.query("leteq v = V.N(x) print(v)").count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fresh_ids_and_unions(spark):
+    e = Engine(spark).run_text("data V = N(i32) fact set V.N(1i32); set V.N(2i32); set V.N(3i32)")
+    ids = {r["x"]: r["v"] for r in e.query("leteq v = V.N(x) print(x, v)").collect()}
+    a = e.fresh_id(3)
+    assert a > max(ids.values()) and e.fresh_id() == a + 3
+    e.insert_df("V.N", spark.createDataFrame([(4, a)], "x int, v long"))
+    e.union_df(spark.createDataFrame([(ids[1], ids[3]), (ids[2], a)], "a long, b long"))
+    now = {r["x"]: r["v"] for r in e.query("leteq v = V.N(x) print(x, v)").collect()}
+    assert now == {1: min(ids[1], ids[3]), 3: min(ids[1], ids[3]), 2: ids[2], 4: ids[2]}
+
+
+def test_rules_without_new_rows_are_skipped(spark):
+    from relsat.operators.match import match
+
+    e = Engine(spark).run_text(CLOSURE + LINEAR + facts([(1, 2), (2, 3)]) + "run saturate")
+    assert all(match(e.store, r.plan, r.seen, ["x", "y"]) is None for r in e.rules)
+    e.run_text(facts([(3, 4)]))
+    assert all(match(e.store, r.plan, r.seen, ["x", "y"]) is not None for r in e.rules)
+
+
+def test_term_without_lets(spark):
+    e = Engine(spark).run_text(SHARE + "fact set E.Add(E.Mul(E.Leaf(2i32), E.Leaf(3i32)), E.Leaf(2i32))")
+    text = "Add(Mul(Leaf(2i32), Leaf(3i32)), Leaf(2i32))"
+    assert e.extract(text, lets=False).term == "(E.Add (E.Mul (E.Leaf 2) (E.Leaf 3)) (E.Leaf 2))"
+    assert e.extract(text).term == "(let ([_t0 (E.Leaf 2)]) (E.Add (E.Mul _t0 (E.Leaf 3)) _t0))"
+
+
+def test_large_graph_on_the_cluster_prices_like_the_driver(spark, monkeypatch):
+    from relsat.operators import extract
+
+    program = SHARE + "fact set E.Add(E.Mul(E.Leaf(2i32), E.Leaf(3i32)), E.Mul(E.Leaf(2i32), E.Leaf(2i32))) fact union E.Mul(E.Leaf(2i32), E.Leaf(2i32)) with E.Square(E.Leaf(2i32))"
+    e = Engine(spark).run_text(program)
+    text = "Add(Mul(Leaf(2i32), Leaf(3i32)), Mul(Leaf(2i32), Leaf(2i32)))"
+    want = e.extract(text).term
+    monkeypatch.setattr(extract, "DRIVER_ROWS", 1)
+    assert e.extract(text).term == want
+    monkeypatch.setattr(extract, "DRIVER_CLASSES", 1)
+    assert e.extract(text).term == want
+
+
+def test_type_programs_of_mutual_terms(spark):
+    program = """
+    data Ty = Int(u8) | Fn(Ty, Ty) | Tuple(TyList)
+    data TyList = End | Then(Ty, TyList)
+    data Term = Lit(i64, Ty) | Arg(u32, Ty) | Call(Term, TermList) | Lam(Ty, Term) | If(Term, Term, Term)
+    data TermList = None | More(Term, TermList)
+    relation typed(Term, Ty)
+    cost Term.Call = 4 cost Term.If = 2
+    fact set typed(Term.Lit(1i64, Ty.Int(64u8)), Ty.Int(64u8))
+    rule typed(t, ty) { set typed(Term.Lam(ty, t), Ty.Fn(ty, ty)) }
+    run repeat 2
+    """
+    e = Engine(spark).run_text(program)
+    got = {r["ty"] for r in e.query_terms("typed(_, ty) print(ty)").collect()}
+    assert "(Ty.Int 64)" in got and "(Ty.Fn (Ty.Int 64) (Ty.Int 64))" in got
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from relsat.cli import main
+
+    (tmp_path / "one.rsat").write_text("relation r(i32) fact set r(4i32) query r(x) print(x)")
+    assert main([str(tmp_path / "one.rsat")]) == 0 and capsys.readouterr().out.strip() == "x: 4"
+    assert main([str(tmp_path), "--main", "one"]) == 0 and capsys.readouterr().out.strip() == "x: 4"
+    assert main([str(tmp_path), "--main", "two"]) == 1 and "error" in capsys.readouterr().err
+    assert main([str(tmp_path / "missing.rsat")]) == 1
+    (tmp_path / "bad.rsat").write_text("query r(x) print(x)")
+    assert main([str(tmp_path / "bad.rsat")]) == 1
+
+
+def test_history_is_kept(tmp_path):
+    readline = pytest.importorskip("readline")
+    from relsat.cli import history
+
+    readline.clear_history()
+    for line in ("relation r(i32)", "query r(x) print(x)"):
+        with history(tmp_path / "lines"):
+            readline.add_history(line)
+        readline.clear_history()
+    with history(tmp_path / "lines"):
+        assert readline.get_current_history_length() == 2
+
+
 def test_divergence_is_stopped(spark):
     e = Engine(spark, max_rounds=3)
     with pytest.raises(err.Diverged):
