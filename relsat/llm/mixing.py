@@ -78,25 +78,31 @@ def _uniform(n: Column, *key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *key), n)
 
 
-def _permuted(k: Column, n: Column, *key: Column) -> Column:
-    """A permutation of 0..n-1: two rounds of a multiply, a rotation and a key-dependent shift.
-
-    The multiplier is coprime to n: of some large primes, one that does not divide n. From
-    2**31 on products would not fit 63 bits and are taken as decimals of 38 digits.
+def permuted(df: DataFrame, k: str, n: str, out: str, *key: str, wide: bool = False) -> DataFrame:
+    """``df`` with a permutation of 0..n-1 applied to ``k``: two rounds of a multiply, a rotation
+    and a key-dependent shift.
+
+    The multiplier is coprime to n: of some large primes, one that does not divide n. With
+    ``wide``, for n from 2**31 on, products would not fit 63 bits and are taken as decimals of
+    38 digits; both forms give the same numbers. Each step is a column of its own, so that its
+    value is computed once.
     """
     primes = (1_000_000_007, 998_244_353, 1_000_000_009, 999_999_937)
-    out = k
+    size, big = F.col(n), lambda c: c.cast("decimal(19,0)")
+    p = F.lit(primes[-1]).cast("long")
+    for q in primes[:-1]:
+        p = F.when(size % F.lit(q) != 0, F.lit(q).cast("long")).otherwise(p)
+    df = df.withColumn("__p", p).withColumn(out, F.col(k))
     for r in (1, 2):
-        p = F.lit(primes[-1]).cast("long")
-        for q in primes[:-1]:
-            p = F.when(n % F.lit(q) != 0, F.lit(q).cast("long")).otherwise(p)
-        shift = F.pmod(F.xxhash64(F.lit(SEED + r), *key), n)
-        big = lambda c: c.cast("decimal(19,0)")
-        wide = (F.pmod(big(out) * big(p), big(n)).cast("long") - (n - shift)).cast("long")
-        wide = F.when(wide < 0, wide + n).otherwise(wide)
-        out = F.when(n < (1 << 31), F.pmod(out * F.pmod(p, n) + shift, n)).otherwise(wide)
-        out = F.when(out.bitwiseAND(F.lit(1).cast("long")) == 0, F.shiftright(out, 1)).otherwise(F.shiftright(n + 1, 1) + F.shiftright(out, 1)).cast("long")
-    return out
+        df = df.withColumn("__shift", F.pmod(F.xxhash64(F.lit(SEED + r), *key), size))
+        if wide:
+            moved = F.pmod(big(F.col(out)) * big(F.col("__p")), big(size)).cast("long") - (size - F.col("__shift"))
+            df = df.withColumn("__m", moved).withColumn("__m", F.when(F.col("__m") < 0, F.col("__m") + size).otherwise(F.col("__m")))
+        else:
+            df = df.withColumn("__m", F.pmod(F.col(out) * F.pmod("__p", size) + F.col("__shift"), size))
+        odd, half = F.col("__m").bitwiseAND(F.lit(1).cast("long")), F.shiftright("__m", 1)
+        df = df.withColumn(out, half + odd * F.shiftright(size + 1, 1))
+    return df.drop("__p", "__shift", "__m")
 
 
 def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -133,7 +139,7 @@ def draw(goal: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     # a source's last block is short: expect as many slots as give the target in words
     full = full.withColumn("need", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long")).where("need > 0")
     full = staged(running(full.select("sk", "rank", "blocks", "need"), "rank", "need", "lo"), "needs")
-    sums = full.agg(F.sum("need").alias("n"), F.count("*").alias("sources")).first()
+    sums = full.agg(F.sum("need").alias("n"), F.count("*").alias("sources"), F.max("blocks").alias("blocks")).first()
     total, sources = sums["n"] or 0, sums["sources"]
     # the sources' stretches of 0..total-1, found by the cell that a drawn number falls into
     cells = max(1, 4 * sources)
@@ -153,9 +159,9 @@ def draw(goal: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     # few rows that become many: dealt by number, so that they are not put together again
     rows = kept.unionByName(closing).repartition(min(20_000, shards // 50 + 4), "sk", "shard")
     taken = rows.select("sk", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("c") - 1)).alias("k"))
-    taken = taken.withColumn("turn", F.floor(F.col("k") / F.col("blocks")).cast("int"))
-    b = _permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sk"), F.col("turn"))
-    return taken.select("sk", b.alias("b"), "turn").groupBy("sk", "b").agg(F.count("*").alias("times"), F.sum(F.expr("shiftleft(1, turn)")).alias("passes"))
+    taken = taken.withColumn("turn", F.floor(F.col("k") / F.col("blocks")).cast("int")).withColumn("k", F.col("k") % F.col("blocks"))
+    taken = permuted(taken, "k", "blocks", "b", "sk", "turn", wide=(sums["blocks"] or 0) >= 1 << 31)
+    return taken.select("sk", "b", "turn").groupBy("sk", "b").agg(F.count("*").alias("times"), F.sum(F.expr("shiftleft(1, turn)")).alias("passes"))
 
 
 def taken_parts(at: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -170,8 +170,12 @@ def test_mix(spark):
 
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 7, 64, 1000):
-        df = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p"))
-        assert sorted(r["p"] for r in df.collect()) == list(range(n))
+        df = spark.range(n).withColumn("n", F.lit(n).cast("long"))
+        narrow, wide = (sorted((r["id"], r["p"]) for r in mixing.permuted(df, "id", "n", "p", "n", wide=w).collect()) for w in (False, True))
+        assert sorted(p for _, p in narrow) == list(range(n)) and narrow == wide
+    far = spark.range(2000).selectExpr("id * 9999991 as id", "20000000000 as n")
+    got = [r["p"] for r in mixing.permuted(far, "id", "n", "p", "n", wide=True).collect()]
+    assert len(set(got)) == 2000 and 0 <= min(got) and max(got) < 20_000_000_000
 
 
 def test_extraction():
