@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import UPPER, LOWER, slices, table, trimmed, tuned
+from relsat.llm.common import LOWER, UPPER, plain_names, slices, table, trimmed, tuned
 from relsat.llm.fm_index import FMIndex
 from relsat.operators.staging import forget, staged
 
@@ -192,8 +192,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark phrase."""
-    found = scan(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.where("__hit = 0").select(*docs.columns)
+    d, name = plain_names(docs)
+    found = scan(d, table(spark, sf_dir, "benchmark", "item_id", "text"), name["text"])
+    return found.where("__hit = 0").select(*name.values()).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -225,6 +225,23 @@ def block_features(bs: list[Block]) -> list[list[str]]:
     return out
 
 
+def marginals(s: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of a chain with scores ``s`` (block, state): the logarithm of the sum over all readings,
+    each block's state probabilities, and the expected number of each transition."""
+    n = len(s)
+    alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+    alpha[0] = s[0] + first
+    for i in range(1, n):
+        alpha[i] = s[i] + np.logaddexp(alpha[i - 1, 0] + t[0], alpha[i - 1, 1] + t[1])
+    beta[-1] = last
+    for i in range(n - 2, -1, -1):
+        v = s[i + 1] + beta[i + 1]
+        beta[i] = np.logaddexp(t[:, 0] + v[0], t[:, 1] + v[1])
+    z = np.logaddexp(*(alpha[-1] + last))
+    pair = np.exp(alpha[:-1, :, None] + t + (s + beta)[1:, None, :] - z).sum(0)
+    return float(z), np.exp(alpha + beta - z), pair
+
+
 class Chain:
     """Two states; weights of features, transitions, first and last state."""
 
@@ -254,20 +271,9 @@ class Chain:
             rng.shuffle(order)
             for k in order:
                 fs, ys = known[k]
-                n = len(ys)
                 s = np.array([self.w[f].sum(0) for f in fs])
-                alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
-                alpha[0] = s[0] + self.first
-                for i in range(1, n):
-                    alpha[i] = s[i] + np.logaddexp(alpha[i - 1, 0] + self.t[0], alpha[i - 1, 1] + self.t[1])
-                beta[-1] = self.last
-                for i in range(n - 2, -1, -1):
-                    v = s[i + 1] + beta[i + 1]
-                    beta[i] = np.logaddexp(self.t[:, 0] + v[0], self.t[:, 1] + v[1])
-                z = np.logaddexp(*(alpha[-1] + self.last))
-                p = np.exp(alpha + beta - z)
+                _, p, pair = marginals(s, self.t, self.first, self.last)
                 hot = np.eye(2)[ys]
-                pair = np.exp(alpha[:-1, :, None] + self.t + (s + beta)[1:, None, :] - z).sum(0)
                 true = np.zeros((2, 2))
                 np.add.at(true, (ys[:-1], ys[1:]), 1)
                 step(self.t, true - pair, g2[1])

@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import mix, slices, table, trimmed, trimmed_group, tuned, word_hashes
+from relsat.llm.common import mix, plain_names, slices, table, trimmed, trimmed_group, tuned, word_hashes
 from relsat.operators.components import connected_components
 from relsat.operators.staging import forget, staged
 
@@ -558,26 +558,27 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class: that with the smallest number (rows without one come last;
     of rows that repeat a number, one text of the class). Rows without words all stay."""
     tuned(spark)
-    own = classes(docs)
-    first = own.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "h")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    rows = own.join(first.select("c", "first"), "c")
+    d, name = plain_names(docs)
+    own = classes(d, name["doc_id"], name["text"])
     mine = F.struct(F.col("i").isNull().alias("none"), "i", "h")
+    first = own.where("c is not null").groupBy("c").agg(F.min(mine).alias("first"), F.count("*").alias("m")).where("m > 1")
+    rows = own.join(first.select("c", "first"), "c")
     gone = staged(rows.where(mine != F.col("first")).select("i", "h").distinct(), "gone")
     twice = staged(rows.where(mine == F.col("first")).groupBy("i", "h").count().where("count > 1").select("i", "h"), "twice")
-    hashed_docs = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = d.withColumn("__h", F.xxhash64(F.coalesce(name["text"], F.lit(""))))
 
     def matched(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select(F.col("i").alias("__i"), F.col("h").alias("__k"))
         keys = F.broadcast(keys) if keys.count() <= MAX_KEYS else keys
-        return df.join(keys, (df["__h"] == keys["__k"]) & df["doc_id"].eqNullSafe(keys["__i"]), how)
-
-    kept = matched(hashed_docs, gone, "left_anti")
-    if twice.isEmpty():
-        return kept.drop("__h")
-    # rows equal in number and text: one of them, the first in the order of the other columns' texts
-    again = matched(kept, twice, "left_semi")
-    one = again.groupBy("doc_id", "__h").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row"))
-    return matched(kept, twice, "left_anti").drop("__h").unionByName(one.select("row.*"))
+        return df.join(keys, (df["__h"] == keys["__k"]) & df[name["doc_id"]].eqNullSafe(keys["__i"]), how)
+
+    kept = matched(d, gone, "left_anti")
+    if not twice.isEmpty():
+        # rows equal in number and text: one of them, the first in the order of the other columns' texts
+        row = F.struct(*name.values())
+        one = matched(kept, twice, "left_semi").groupBy(name["doc_id"], "__h").agg(F.min_by(row, F.to_json(row)).alias("row"))
+        kept = matched(kept, twice, "left_anti").select(*name.values()).unionByName(one.select("row.*"))
+    return kept.select(*name.values()).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from relsat.llm.common import crc_of, fraction_of, per_batch, slices, table, tuned
+from relsat.llm.common import crc_of, fraction_of, per_batch, plain_names, slices, table, tuned
 
 BUCKETS = 1 << 16
 #: Labelled documents of one language that training reads (about).
@@ -170,6 +170,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keep the documents whose main language is known and makes up ``least`` of the text."""
     tuned(spark)
-    out = F.pmod(crc_of(F.col("doc_id")), F.lit(3)).eqNullSafe(1)
-    found = detect(docs, train(docs.where(~out)), lang_col="__lang", score_col="__share")
-    return found.where((F.col("__lang") != "und") & (F.col("__share") >= least)).drop("__lang", "__share")
+    d, name = plain_names(docs)
+    out = F.pmod(crc_of(F.col(name["doc_id"])), F.lit(3)).eqNullSafe(1)
+    found = detect(d, train(d.where(~out), name["doc_id"], name["text"], name["lang"]), name["text"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*name.values()).toDF(*docs.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from relsat.llm.common import SPACE_WORD, table
+from relsat.llm.common import SPACE_WORD, plain_names, table
 from relsat.operators.staging import staged
 
 BLOCK, SHARD, SHARE, MOST, SEED = 64, 4096, 1.5, 2, 20260
@@ -192,26 +192,26 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A pass that takes the whole document gives its text as it is; otherwise the words of the
     blocks taken, joined by blanks. Columns stay those of ``docs``.
     """
-    at, goal = placed(docs)
+    d, name = plain_names(docs)
+    text = F.col(name["text"])
+    at, goal = placed(d, name["doc_id"], name["text"], name["source"])
     at = staged(at, "placed")
     parts = taken_parts(at, draw(goal))
     turns = parts.select("sk", "doc_id", "h", "copy", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("turn"), "passes").where("shiftright(passes, turn) % 2 = 1")
     want = turns.groupBy("sk", "doc_id", "h", "copy", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
-    want = want.select(F.col("sk").alias("__s"), F.col("doc_id").alias("__i"), F.col("h").alias("__k"), F.col("copy").alias("__c"), "parts", "got").withColumnsRenamed({"parts": "__parts", "got": "__got"})
-    keyed = docs.withColumn("__sk", _source_key("source")).withColumn("__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    want = want.withColumnsRenamed({"sk": "w_sk", "doc_id": "w_id", "h": "w_h", "copy": "w_copy"})
+    keyed = d.withColumn("sk", _source_key(name["source"])).withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
     # rows of one source that are equal in number and text take their numbers in the order of the other columns
-    twice = staged(at.where("copy > 0").select("sk", "doc_id", "h").distinct(), "twice")
-    again = twice.select(F.col("sk").alias("__s"), F.col("doc_id").alias("__i"), F.col("h").alias("__k"))
-    same = lambda k: (keyed["__sk"] == k["__s"]) & (keyed["__h"] == k["__k"]) & keyed["doc_id"].eqNullSafe(k["__i"])
+    again = staged(at.where("copy > 0").select(F.col("sk").alias("w_sk"), F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).distinct(), "twice")
+    same = lambda df, k: (df["sk"] == k["w_sk"]) & (df["h"] == k["w_h"]) & df[name["doc_id"]].eqNullSafe(k["w_id"])
     if again.isEmpty():
-        numbered = keyed.withColumn("__copy", F.lit(0))
+        numbered = keyed.withColumn("copy", F.lit(0))
     else:
-        order = Window.partitionBy("__sk", "doc_id", "__h").orderBy(F.to_json(F.struct(*docs.columns)))
-        numbered = keyed.join(again, same(again), "left_anti").withColumn("__copy", F.lit(0)).unionByName(keyed.join(again, same(again), "left_semi").withColumn("__copy", F.row_number().over(order) - 1))
-    both = numbered.join(want, (numbered["__sk"] == want["__s"]) & (numbered["__h"] == want["__k"]) & numbered["doc_id"].eqNullSafe(want["__i"]) & (numbered["__copy"] == want["__c"]))
-    words = F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__w"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    both = both.withColumn("__w", words).withColumn("text", F.when(F.col("__got") >= F.size("__w"), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        order = Window.partitionBy("sk", name["doc_id"], "h").orderBy(F.to_json(F.struct(*name.values())))
+        numbered = keyed.join(again, same(keyed, again), "left_anti").withColumn("copy", F.lit(0)).unionByName(keyed.join(again, same(keyed, again), "left_semi").withColumn("copy", F.row_number().over(order) - 1))
+    both = numbered.join(want, same(numbered, want) & (numbered["copy"] == want["w_copy"])).withColumn("words", F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0)))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
+    both = both.withColumn(name["text"], F.when(F.col("got") >= F.size("words"), text).otherwise(cut))
+    if "n_chars" in name:
+        both = both.withColumn(name["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return both.select(*name.values()).toDF(*docs.columns)
