@@ -262,3 +262,50 @@ def test_pipeline_stages_keep_rows_and_columns(spark, folder):
         assert out.columns == docs.columns and out.count() > 0, name
     found = corpus_pipeline.run(spark, folder).collect()
     assert all(r["n_tokens"] > 0 for r in found)
+
+
+def test_pipeline_equals_brute_force(spark, folder):
+    """Stage by stage over ``documents``: what each keeps of its own input."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()} if name != "token_files" else docs.collect()
+        docs = stage(spark, docs, sf).persist()
+        seen[name] = before, docs.collect()
+    # language ID: what stays is not changed, and almost all that has a language stays
+    before, after = seen["language_id"]
+    assert all(tuple(r) == tuple(before[r["doc_id"]]) for r in after) and len(after) > 0.95 * len(before)
+    # one document of each group of linked sets
+    before, after = seen["jaccard_join"]
+    sets = {i: (set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()) for i, r in before.items() for w in [(r["text"] or "").lower().split()]}
+    least = {i: i for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = {i: low if x == high else x for i, x in least.items()}
+    assert {r["doc_id"] for r in after} == {i for i in ids if least[i] == i}
+    # no benchmark window
+    before, after = seen["decontamination"]
+    phrases = {tuple(p) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for p in windows(r["text"])[1]}
+    sizes = {len(p) for p in phrases}
+    clean = {i for i, r in before.items() for w in [windows(r["text"])[0]] if not any(tuple(w[k : k + n]) in phrases for n in sizes for k in range(len(w) - n + 1))}
+    assert {r["doc_id"] for r in after} == clean
+    # every source's words near its target, no text longer than it was, no document more than twice
+    before, after = seen["source_mixing"]
+    size = {i: len((r["text"] or "").split()) for i, r in before.items()}
+    goal = {r["src"]: r["target"] for r in mixing.targets(spark.createDataFrame(list({s: sum(n for i, n in size.items() if before[i]["source"] == s) for s in {r["source"] for r in before.values()}}.items()), "src string, source_size long")).collect()}
+    for s, want in goal.items():
+        assert abs(sum(len(r["text"].split()) for r in after if r["source"] == s) - want) <= 0.02 * want + 2 * mixing.BLOCK
+    for i in before:
+        assert sum(len(r["text"].split()) for r in after if r["doc_id"] == i) <= 2 * size[i]
+    # the files hold the ids of every text of the mix
+    before, after = seen["token_files"]
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    ids = [(r["doc_id"], np.array([*t.encode(r["text"], add_special_tokens=False).ids, 2], "<u4")) for r in before]
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in after) == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
