@@ -186,7 +186,7 @@ def test_extraction():
         html_extract.main_text(page, chain)
     rng, wrong, total = random.Random(77), 0, 0
     for _ in range(100):
-        page, main = html_extract._training_page(rng)
+        page, main = html_extract.training_page(rng)
         bs = html_extract.blocks(page)
         y = html_extract.labels_of(bs, main)
         wrong += sum(a != b for a, b in zip(y, chain.decode(html_extract.block_features(bs))))
@@ -194,13 +194,17 @@ def test_extraction():
     assert wrong < 0.02 * total
 
 
-def test_url_parts_and_digest_collisions(tmp_path, monkeypatch):
-    assert url_filter.parts("HTTPS://A.Ex.NET:80/B?c#d") == ("a.ex.net:80", "/B") and url_filter.parts("x") == ("", "")
+def test_url_parts(spark):
+    df = spark.createDataFrame([("HTTPS://A.Ex.NET:80/B?c#d",), ("x",), (None,), ("a://É.b#c",), ("a://b://c/d\ne?f",)], "u string").select(*url_filter.parts("u"))
+    assert [tuple(r) for r in df.collect()] == [("a.ex.net:80", "/B"), ("", ""), ("", ""), ("É.b", ""), ("b:", "//c/d\ne")]
+
+
+def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b) % 3)  # everything collides
-    url_filter.write_rules([(f"h{i}.net", "/", "block") for i in range(50)], str(tmp_path / "r"))
+    (tmp_path / "r").write_bytes(url_filter.packed([(f"h{i}.net", "/" * (1 + i % 2), "block") for i in range(50)]))
     r = url_filter.Rules(str(tmp_path / "r"))
-    found = r.find([f"h{i}.net/".encode() for i in range(60)])
-    assert all((found[i] >= 0) == (i < 50) for i in range(60)) and r.string(found[7]) == b"h7.net/"
+    found = r.find([f"h{i}.net{'/' * (1 + i % 2)}".encode() for i in range(60)])
+    assert all((found[i] >= 0) == (i < 50) for i in range(60)) and r.string(found[8]) == b"h8.net/" and r.lengths == [1, 2]
 
 
 def test_tokens_round_trip(spark, folder):
