@@ -547,7 +547,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     own = classes(docs, doc_id, text)
     # most classes are one row's: only the others are joined
     least = own.where("c is not null").groupBy("c").agg(F.min("i").alias("component"), F.count("*").alias("m")).where("m > 1").select("c", "component")
-    return own.join(least, "c", "left").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
+    least = staged(least, "least")
+    return bounded(own, least, least.count(), ["c"], "left").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +563,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = classes(d, name["doc_id"], name["text"])
     mine = F.struct(F.col("i").isNull().alias("none"), "i", "h")
     first = own.where("c is not null").groupBy("c").agg(F.min(mine).alias("first"), F.count("*").alias("m")).where("m > 1")
-    rows = own.join(first.select("c", "first"), "c")
+    first = staged(first.select("c", "first"), "first")
+    rows = bounded(own, first, first.count(), ["c"], "inner")
     gone = staged(rows.where(mine != F.col("first")).select("i", "h").distinct(), "gone")
     twice = staged(rows.where(mine == F.col("first")).groupBy("i", "h").count().where("count > 1").select("i", "h"), "twice")
     d = d.withColumn("__h", F.xxhash64(F.coalesce(name["text"], F.lit(""))))
