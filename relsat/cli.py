@@ -25,12 +25,9 @@ from relsat.sources.modules import Modules
 HISTORY = Path.home() / ".relsat_history"
 
 
-def emit(engine: Engine, out: Callable[[str], object] = print) -> None:
+def warn(engine: Engine) -> None:
     for w in engine.warnings:
         print(f"warning: {w}", file=sys.stderr)
-    for line in engine.output:
-        out(line)
-    engine.output.clear()
     engine.warnings.clear()
 
 
@@ -54,6 +51,7 @@ def history(path: Path, most: int = 1000) -> Iterator[None]:
 def interact(modules: Modules, read: Callable[[str], str] = input, out: Callable[[str], object] = print, folder: Path = Path(".")) -> None:
     """Read commands until ``exit``, ``quit`` or the end; unfinished ones go on in the next line."""
     engine, held = modules.engine, ""
+    engine.sink = out  # rows are printed as they arrive
     while True:
         try:
             line = read("... " if held else "> ")
@@ -74,7 +72,7 @@ def interact(modules: Modules, read: Callable[[str], str] = input, out: Callable
                     continue
                 text, held = held, ""
                 modules.run_text(text, folder)
-            emit(engine, out)
+            warn(engine)
         except (RelsatError, OSError, IndexError) as e:
             held = ""
             out(f"error: {e}")
@@ -87,6 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("relsat").getOrCreate()
     modules = Modules(Engine(spark))
+    modules.engine.sink = print
     path = Path(a.path) if a.path else None
     try:
         if path is not None and path.is_dir():
@@ -95,7 +94,7 @@ def main(argv: list[str] | None = None) -> int:
                 if a.main not in modules.known:
                     raise RelsatError(f"no module {a.main}")
                 modules.run(modules.known[a.main])
-                emit(modules.engine)
+                warn(modules.engine)
             else:
                 with history(HISTORY):
                     interact(modules, folder=path)
@@ -103,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
             if a.main:
                 raise RelsatError("--main needs a folder")
             modules.run(path)
-            emit(modules.engine)
+            warn(modules.engine)
         else:
             with history(HISTORY):
                 interact(modules)

@@ -43,6 +43,8 @@ class Engine:
         self.actions = Actions(self.catalog, self.store)
         self.rules: list[RulePlan] = []
         self.output: list[str] = []
+        #: What takes the lines of queries and extractions, one by one as they arrive; ``output`` by default.
+        self.sink: Callable[[str], object] = self.output.append
         self.warnings: list[str] = []
         self.last: Extracted | None = None
 
@@ -146,11 +148,11 @@ class Engine:
         elif isinstance(c, p.Query):
             names = list(c.names)
             for r in self.show(c).toLocalIterator():
-                self.output.append(", ".join(f"{n}: {r[column(n)]}" for n in names))
+                self.sink(", ".join(f"{n}: {r[column(n)]}" for n in names))
         elif isinstance(c, p.Extract):
             self.last = self.extract_term(c.term, c.optimal)
             self.warnings += self.last.warnings
-            self.output.append(self.last.term)
+            self.sink(self.last.term)
         elif isinstance(c, p.Fact):
             check_bodies(self.catalog, {}, c.bodies)
             self.facts([c.bodies])
