@@ -8,7 +8,8 @@ and queries find their lists by a walk over an in-memory graph of the centroids;
 those within a distance ratio of the nearest one. SHELF neighbouring lists make a shelf, to
 which a vector and a query travel once, with a bit for each of its lists; a query is compared
 with the vectors that have a bit in common with it. Shelves are split by vectors and by
-queries into groups of bounded size.
+queries into groups of bounded size. A query whose lists hold fewer than k vectors is compared
+with all.
 
 Equal vectors count as one: only the k + 1 first rows of such a group can be among the nearest
 k, so the group never meets in one task. Vectors that are null, zero, of another length than
@@ -16,7 +17,7 @@ most, without a number, or hold null or non-finite components take no part; leng
 by any factor, for the index is fitted to scaled vectors. Scores that a double cannot hold are
 infinite, or NaN, which ranks last. Rows that repeat a number are rows of their own, as queries
 and as candidates, and a query's own row alone is left out. Ties go to the smaller number; with
-fewer candidates than k, all of those found are returned. Extra columns are not read. An empty
+fewer candidates than k, all are returned. Extra columns are not read. An empty
 table gives an empty result.
 """
 
@@ -37,10 +38,12 @@ K, SAMPLE, MAX_LISTS, REPLICAS, SLACK, RATIO, SEED = 20, 40_000, 8192, 4, 0.12,
 #: without any structure need as many for nine in ten true neighbours; the distance ratio leaves
 #: fewer where there is structure.
 DENSITY, SHARE = 4, 0.25
+#: Lists that a query probes at least, whatever the distance ratio.
+LEAST = 4
 #: Lists of a shelf; vectors and queries of one group.
 SHELF, PART, CHUNK = 16, 8000, 2000
 #: Neighbours of a centroid in the graph, breadth of a walk, numbers that a step may gather.
-NEIGHBOURS, BEAM, ROOM = 24, 32, 2_000_000
+NEIGHBOURS, BEAM, ROOM = 24, 32, 6_000_000
 
 
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
@@ -153,7 +156,7 @@ class Lists:
         """Row and list of each probe: queries are as long as the longest vector."""
         q = np.pad(unit(v) * np.sqrt(self.longest), ((0, 0), (0, 1)))
         near, d = self.graph.nearest(q, max(1, int(np.ceil(SHARE * len(self.graph.c)))))
-        r, c = np.nonzero(d <= d[:, :1] * RATIO**2 + 1e-12)
+        r, c = np.nonzero((d <= d[:, :1] * RATIO**2 + 1e-12) | (np.arange(d.shape[1]) < LEAST) & np.isfinite(d))
         return r, near[r, c]
 
 
@@ -219,7 +222,8 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     copies = part.withColumn("at", F.row_number().over(Window.partitionBy("h", "v").orderBy("id", "r"))).where(F.col("at") <= k + 1)
     groups = copies.groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("id", "r"))).alias("both"))
     groups = staged(groups.select("h", "v", F.col("both.id").alias("ids"), F.col("both.r").alias("rs")), "groups")
-    shared = spark.sparkContext.broadcast(fitted(groups, n, float(scale), float(longest)))
+    lists = fitted(groups, n, float(scale), float(longest))
+    shared = spark.sparkContext.broadcast(lists)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -240,11 +244,6 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     posted = staged(groups.select("ids", "rs", "v").mapInArrow(trimmed(post), "shelf int, bits long, ids array<long>, rs array<long>, v binary"), "postings")
     queries = rows.where(F.col("id") % every == 0).select("id", "r", "v")
     asked = staged(queries.mapInArrow(trimmed(probe), "shelf int, bits long, id long, r long, v binary"), "probes")
-    # one row for each shelf: MAX_LISTS / SHELF at most
-    sizes = posted.groupBy("shelf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(asked.groupBy("shelf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "shelf")
-    sizes = F.broadcast(staged(sizes, "shelves"))
-    dealt = posted.join(sizes, "shelf").withColumn("p", F.pmod(F.xxhash64(F.element_at("rs", 1)), F.col("parts")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = asked.join(sizes, "shelf").withColumn("z", F.pmod(F.xxhash64("r"), F.col("chunks")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, ...]] = []
@@ -279,13 +278,29 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
         z = [np.concatenate(a) for a in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
         return pd.DataFrame(dict(zip(("qr", "query_id", "vr", "vec_id", "score"), z)))
 
-    found = asked.select("shelf", "p", "z", "bits", "id", "r", "v").groupBy("shelf", "p", "z").cogroup(dealt.select("shelf", "p", "z", "bits", "ids", "rs", "v").groupBy("shelf", "p", "z"))
-    found = found.applyInPandas(nearest, "qr long, query_id long, vr long, vec_id long, score double")
-    # a replicated vector is found on several shelves; a query has k rows for each group it is in at most
-    best = found.dropDuplicates(["qr", "vr"])
+    held = staged(posted.groupBy("shelf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "shelves")
     value = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
     rank = F.row_number().over(Window.partitionBy("qr").orderBy(value.desc(), "vec_id", "vr"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        """The k nearest rows that each of ``asked`` (a row for each shelf) finds."""
+        # one row for each shelf: MAX_LISTS / SHELF at most
+        sizes = F.broadcast(staged(held.join(asked.groupBy("shelf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "shelf"), "sizes"))
+        dealt = posted.join(sizes, "shelf").withColumn("p", F.pmod(F.xxhash64(F.element_at("rs", 1)), F.col("parts")).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        questions = asked.join(sizes, "shelf").withColumn("z", F.pmod(F.xxhash64("r"), F.col("chunks")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = questions.select("shelf", "p", "z", "bits", "id", "r", "v").groupBy("shelf", "p", "z").cogroup(dealt.select("shelf", "p", "z", "bits", "ids", "rs", "v").groupBy("shelf", "p", "z"))
+        found = met.applyInPandas(nearest, "qr long, query_id long, vr long, vec_id long, score double")
+        # a replicated vector is found on several shelves; a query has k rows for each group it is in at most
+        return found.dropDuplicates(["qr", "vr"]).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    best = staged(ranked(asked), "nearest")
+    full = best.where(F.col("rank") == min(k, n - 1)).select("qr")
+    short = staged(asked.select("id", "r", "v").dropDuplicates(["r"]).join(full, F.col("r") == F.col("qr"), "left_anti"), "short")
+    if n > 1 and not short.isEmpty():
+        last = (len(lists.graph.c) - 1) // SHELF
+        everywhere = short.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shelf"), F.lit(-1).cast("long").alias("bits"), "id", "r", "v")
+        best = best.join(short.select(F.col("r").alias("qr")), "qr", "left_anti").unionByName(ranked(everywhere))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
