@@ -34,9 +34,9 @@ from relsat.llm.common import table, trimmed
 from relsat.operators.staging import staged
 
 K, SAMPLE, MAX_LISTS, REPLICAS, SLACK, RATIO, SEED = 20, 40_000, 8192, 4, 0.12, 1.6, 8
-#: Lists for the square root of the vectors; the share of all lists that a query may probe. Vectors
-#: without any structure need as many for nine in ten true neighbours; the distance ratio leaves
-#: fewer where there is structure.
+#: Lists for the square root of the vectors; the share of all lists that a query may probe, beside
+#: one for each neighbour that it looks for. Vectors without any structure need as many for nine
+#: in ten true neighbours; the distance ratio leaves fewer where there is structure.
 DENSITY, SHARE = 4, 0.25
 #: Lists that a query probes at least, whatever the distance ratio.
 LEAST = 4
@@ -155,7 +155,7 @@ class Lists:
     def of_queries(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and list of each probe: queries are as long as the longest vector."""
         q = np.pad(unit(v) * np.sqrt(self.longest), ((0, 0), (0, 1)))
-        near, d = self.graph.nearest(q, max(1, int(np.ceil(SHARE * len(self.graph.c)))))
+        near, d = self.graph.nearest(q, int(np.ceil(SHARE * len(self.graph.c))) + K)
         r, c = np.nonzero((d <= d[:, :1] * RATIO**2 + 1e-12) | (np.arange(d.shape[1]) < LEAST) & np.isfinite(d))
         return r, near[r, c]
 
