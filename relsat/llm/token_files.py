@@ -29,10 +29,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from relsat.llm.common import slices, table, trimmed, tuned
@@ -43,33 +45,43 @@ END, LANES, SCALE, BLOCK_TOKENS, CHECKPOINT = 2, 1024, 20, 1 << 19, 128
 IDS = np.dtype("<u2")
 LOW = np.uint64(1 << 31)
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of pieces and ids that a worker keeps (with about 100 of overhead for each piece), and
-#: the longest piece that it keeps (characters).
+#: Bytes of pieces and ids that a worker keeps (with 150 of overhead for each piece), half of them
+#: from the round before, and the longest piece that it keeps (characters).
 CACHE_BYTES, CACHE_CHARS = 90_000_000, 40
 #: Ranges of documents whose first places are broadcast at most; ranges that are summed up in one task.
 MAX_PARTS, RUN_PARTS = 500_000, 4096
 
 
-class Words(dict):
-    """Ids of the pieces between single blanks, as bytes; a missing piece is encoded by the library.
+class Words:
+    """Texts to ids by the pieces between single blanks; a missing piece is encoded by the library.
 
     The tokenizer splits a text by a fixed pattern and encodes the parts one by one. A blank
     begins a part unless white space stands before it and white space or the end behind it.
     So the pieces, each with its blank, can be encoded one by one. The same holds between a
-    letter and one of TAILS. Texts with a blank of the other kind (INNER) or an added token go
-    to the library whole, as does everything if the tokenizer is of another kind.
+    letter and a mark that ends a piece or line (TAIL), and around a line feed between two
+    other characters than white space (FEED). Texts with a blank of the other kind (INNER), an
+    added token or BARE go to the library whole, as does everything if the tokenizer is of
+    another kind.
+
+    A slice of texts is split at once and each different piece looked up once. Missing ones
+    without white space go to the library in one text, for a part with a blank begins at each
+    and nowhere else; the pattern is left out for pieces of letters, which are one part each.
+    What was used since ``kept`` was begun stays for another round, in ``old``.
     """
 
-    TAILS = frozenset(".,;:!?")
-    INNER = re.compile(r" (?<=[\s\u180e] )(?=[\s\u180e]|\Z)")
+    #: Stands before a piece that no blank stands before in the text.
+    BARE = "\0"
+    #: Python's white space, one by one for RE2, and what older versions of Unicode have besides.
+    SPACES = " \t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    INNER = f"[{SPACES}] (?:[{SPACES}]|\\z)"
+    TAIL = r"(\pL)([.,;:!?])([ \n]|\z)", "\\1 \0\\2\\3"
+    FEED = f"([^{SPACES}])\n([^{SPACES}])", "\\1 \0\n \0\\2"
 
     def __init__(self, path: str) -> None:
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.room = CACHE_BYTES
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > np.iinfo(IDS).max:
             raise ValueError(f"the ids of {path} do not fit {IDS}")
@@ -78,42 +90,93 @@ class Words(dict):
         split = how.get("pre_tokenizer") or {}
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not how.get("normalizer")
         self.added = [t["content"] for t in how.get("added_tokens") or []]
+        self.has_space = re.compile(f"[{self.SPACES}]").search
+        self.joins = self.by_piece and not any(map(self.has_space, self.added))
+        self.old: dict[str, bytes] = {}
+        self.begin()
+        tokens = [self.tokenizer.id_to_token(k) or "" for k in range(np.iinfo(IDS).max + 1)]
+        #: Which ids begin with a blank, and which are the line feed.
+        self.blank, self.feed = np.array([t[:1] == "\u0120" for t in tokens]), np.array([t == "\u010a" for t in tokens])
+        self.letters, self.lines = (Tokenizer(self.tokenizer.model) for _ in range(2))
+        for t, mark, how in ((self.letters, " ", "merged_with_next"), (self.lines, "\n", "isolated")):
+            t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(mark, how), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def begin(self) -> None:
+        self.kept: dict[str, bytes] = {self.BARE: b""}  # of a text that begins with a blank, or is empty
+        self.room = CACHE_BYTES // 2
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        """A piece is kept as it is, or after two blanks if no blank stands before it in the text."""
-        bare = piece[2:] if piece[:2] == "  " else None
-        text = piece if bare is None else bare
-        if len(text) > 1 and text[-1] in self.TAILS and text[-2].isalpha():
-            return self[piece[:-1]] + self.mark(text[-1])
-        parts = text.split("\n")
-        if len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            # a line feed between two other characters than white space is a part of its own
-            return self[parts[0] if bare is None else f"  {parts[0]}"] + b"".join(self.mark("\n") + self[f"  {p}"] for p in parts[1:])
-        ids = self.whole(f" {piece}" if bare is None else bare)
-        if len(text) <= CACHE_CHARS:
-            self.room -= 200 + len(piece) + len(ids)
-            if self.room < 0:
-                self.clear()
-                self.room = CACHE_BYTES
-            self[piece] = ids
-        return ids
-
-    def mark(self, mark: str) -> bytes:
-        key = f" {mark}"  # no piece begins with one blank
-        if key not in self:
-            self[key] = self.whole(mark)
-        return self[key]
+    def together(self, tokenizer: Any, mark: str, pieces: list[str], begins: np.ndarray, skip: int) -> list[bytes]:
+        """Ids of pieces, encoded in one text with a mark before each; the first ``skip`` ids of each, the mark's, are left out."""
+        ids = np.array(tokenizer.encode_batch_fast([mark + mark.join(pieces)], add_special_tokens=False)[0].ids, IDS)
+        at = np.flatnonzero(begins[ids])
+        if len(at) != len(pieces):  # not a vocabulary of bytes
+            return []
+        raw, at = ids.tobytes(), at * IDS.itemsize
+        return [raw[i:j] for i, j in zip((at + skip * IDS.itemsize).tolist(), [*at[1:].tolist(), len(raw)])]
+
+    def learn(self, pieces: list[str]) -> list[str]:
+        """Ids of these pieces into ``kept``; the pieces that are too long to stay there."""
+        new: dict[str, bytes] = {}
+        if self.old:
+            new = {x: ids for x in pieces if (ids := self.old.get(x))}
+            pieces = [x for x in pieces if x not in new]
+        if self.joins:
+            letters, rest = [], []
+            for x in pieces:
+                (letters if x.isalpha() else rest).append(x)
+            lines = [x for x in rest if x[1:].isalpha() and x[0] == self.BARE]
+            others = [x for x in rest if x and x[0] != self.BARE and not self.has_space(x)]
+            if letters:
+                new.update(zip(letters, self.together(self.letters, " ", letters, self.blank, 0)))
+            if lines:
+                new.update(zip(lines, self.together(self.lines, "\n", [x[1:] for x in lines], self.feed, 1)))
+            if others:
+                new.update(zip(others, self.together(self.tokenizer, " ", others, self.blank, 0)))
+        for x in pieces:
+            if x not in new:
+                new[x] = self.whole(x[1:] if x[:1] == self.BARE else f" {x}")
+        self.kept.update(new)
+        self.room -= 150 * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+        return [x for x in new if len(x) > CACHE_CHARS]
+
+    def look(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        missing = [x for x in pieces if x not in self.kept]
+        passing = self.learn(missing) if missing else []
+        out = list(map(self.kept.__getitem__, pieces))
+        for x in passing:
+            del self.kept[x]
+        if self.room < 0:
+            self.old = self.kept
+            self.begin()
+        return out
+
+    def encode_all(self, texts: pa.Array, last: bytes = b"") -> pa.Array:
+        """Ids of each text, with ``last`` behind them, as binary values."""
+        none = pa.scalar("", texts.type)
+        texts = pc.fill_null(texts, none)
+        aside = pa.array(np.full(len(texts), not self.by_piece))
+        for found in [pc.match_substring_regex(texts, self.INNER), *(pc.match_substring(texts, t) for t in [self.BARE, *self.added])]:
+            aside = pc.or_(aside, found)
+        rows = np.flatnonzero(aside)
+        split = pc.binary_join_element_wise(pa.scalar(self.BARE, texts.type), pc.if_else(aside, none, texts), none)
+        for pattern, put in (self.TAIL, self.FEED):
+            split = pc.replace_substring_regex(split, pattern, put)
+        lists = pc.split_pattern(split, " ")
+        ends, pieces = np.asarray(lists.offsets).astype(np.int64), lists.values.dictionary_encode()
+        ids = self.look(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = np.array(pieces.indices)
+        at[ends[rows]] = len(ids) + np.arange(len(rows))
+        ids += [self.whole(x) for x in texts.take(pa.array(rows)).to_pylist()] + [last]
+        all_ids = pa.array(ids, pa.binary()).take(pa.array(np.insert(at, ends[1:], len(ids) - 1)))
+        ends = np.frombuffer(all_ids.buffers()[1], "<i4", len(all_ids) + 1)[ends + np.arange(len(ends))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), all_ids.buffers()[2]])
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_piece or self.INNER.search(text) or any(t in text for t in self.added):
-            return self.whole(text)
-        pieces = text.split(" ")
-        return (self[f"  {pieces[0]}"] if pieces[0] else b"") + b"".join(map(self.__getitem__, pieces[1:]))
+        return self.encode_all(pa.array([text]))[0].as_py()
 
 
 @lru_cache(maxsize=1)
@@ -151,20 +214,20 @@ def ordered_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = words(path).encode
+        encode = words(path).encode_all
         part, at = TaskContext.get().partitionId(), 0
         last = np.array([end], IDS).tobytes()
         total = np.zeros(1, np.int64)
         for whole in batches:
             for b in slices(whole, "t", 1 << 20):
-                ids = [encode(t or "") + last for t in b.column("t").to_pylist()]
-                size = np.array([len(x) // IDS.itemsize for x in ids], np.int64)
+                ids = encode(b.column("t"), last)
+                size = np.asarray(pc.binary_length(ids)).astype(np.int64) // IDS.itemsize
                 ends = at + np.cumsum(size)
                 at = int(ends[-1])
-                c = np.bincount(np.frombuffer(b"".join(ids), IDS), minlength=len(total))
+                c = np.bincount(np.frombuffer(ids.buffers()[2], IDS, int(size.sum())), minlength=len(total))
                 c[: len(total)] += total
                 total = c
-                yield pa.record_batch({"part": pa.array(np.full(len(ids), part), pa.int32()), "at": pa.array(ends - size), "doc_id": b.column("i"), "n": pa.array(size), "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
+                yield pa.record_batch({"part": pa.array(np.full(len(ids), part), pa.int32()), "at": pa.array(ends - size), "doc_id": b.column("i"), "n": pa.array(size), "ids": ids, "counts": pa.nulls(len(ids), pa.binary())})
         yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([at]), "doc_id": pa.nulls(1, pa.int64()), "n": pa.array([0]), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     return ranged.mapInArrow(trimmed(run), TOKENS)

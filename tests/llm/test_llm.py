@@ -222,6 +222,26 @@ def test_tokens_round_trip(spark, folder):
         at += len(ids)
 
 
+def test_tokens_of_slices(monkeypatch):
+    """New pieces go to the library together, not one by one; what is kept, dropped or split changes no id."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, rng, calls = Tokenizer.from_file(token_files.default_tokenizer()), random.Random(6), []
+    monkeypatch.setattr(token_files.Words, "whole", lambda self, x, whole=token_files.Words.whole: calls.append(x) or whole(self, x))
+    words = token_files.Words(token_files.default_tokenizer())
+    text = "x " + " ".join("".join(rng.choices("abcdeéß", k=9)) + rng.choice(["", ",", ".\nThe", "###", "7"]) for _ in range(3000))
+    assert np.frombuffer(words.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids and len(calls) < 50
+    letters = [chr(c) for c in range(0x20000) if chr(c).isalpha() or chr(c).isspace()]
+    odd = ["", None, " ", "\n", "\0", "a\0 b", " a  b", "a,\n", "a.\n\nb", "a\nb\nc\n", "a.\u180e b", "x" * 100, f"{'y' * 100}, z", "<|endoftext|>a b", *(f"a{c},\n{c}b {c}. c" for c in letters)]
+    want = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in odd]
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    words = token_files.Words(token_files.default_tokenizer())
+    for step in (1000, len(odd)):
+        got = [x for k in range(0, len(odd), step) for x in words.encode_all(pa.array(odd[k : k + step]), b"\2\0").to_pylist()]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 600_000])
 def test_coder(n):
     rng = np.random.default_rng(n)
