@@ -62,3 +62,14 @@ def test_stored_rows_are_not_told_apart_again(spark):
     e = Engine(spark).run_text("relation p(i32, i32) fact set p(1i32, 2i32); set p(1i32, 3i32)")
     assert "Aggregate" not in optimized(e.query("p(x, y) print(x, y)"))
     assert rows(e.query("p(x, _) print(x)")) == [(1,)]
+
+
+def test_tasks_read_small_parts_of_exchanges(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.unset(key)
+    Engine(spark)
+    assert int(spark.conf.get(key)) <= 16 << 20
+    spark.conf.set(key, "5m")
+    Engine(spark)
+    assert spark.conf.get(key) == "5m"
+    spark.conf.unset(key)
