@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+
+from conftest import canonical, oracle_rows
 from relsat.engine import Engine
-from relsat.plans.queries import QUERIES
+from relsat.operators import store
+from relsat.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +77,26 @@ def test_tasks_read_small_parts_of_exchanges(spark):
     Engine(spark)
     assert spark.conf.get(key) == "5m"
     spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["tc_nonlinear", "incremental", "same_generation", "shortest_path", "longest_path"])
+def test_dealt_tables_equal_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(store, "DEAL_ROWS", 10)
+    monkeypatch.setattr(store, "MOST_LOGS", 3)
+    assert canonical(QUERIES[name](spark, SF).toPandas()) == oracle_rows(ORACLES[name], SF)
+
+
+def test_dealt_tables_are_not_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(store, "DEAL_ROWS", 2)
+    e = Engine(spark)
+    e.bind("edge", spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 9), (3, 1, 2), (3, None, 4), (None, 1, 1), (3, 4, None)], "a int, b int, w int"), ["i32", "i32", "i32"])
+    e.run_text("function d(i32, i32) -> i32 merge min rule edge(x, y, w) { set d(x, y) = w } rule leteq v = d(x, z), edge(z, y, w) { set d(x, y) = add(v, w) } run saturate")
+    got = e.query("leteq v = d(x, y) print(x, y, v)")
+    assert set(map(tuple, got.collect())) == {(1, 2, 1), (1, 3, 2), (1, 1, 4), (2, 3, 1), (2, 1, 3), (2, 2, 4), (3, 1, 2), (3, 2, 3), (3, 3, 4), (1, None, 6), (2, None, 5), (3, None, 4), (None, 1, 1), (None, 2, 2), (None, 3, 3), (None, None, 7)}
+    assert got.count() == 16
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+    before = e.query("leteq v = d(x, y) print(x, y, v)")
+    e.bind("more", spark.createDataFrame([(7, 8, 1)], "a int, b int, w int"), ["i32", "i32", "i32"])
+    e.run_text("rule more(x, y, w) { set d(x, y) = w } run saturate")
+    assert before.count() == 16 and e.query("leteq v = d(x, y) print(x, y, v)").count() == 17
