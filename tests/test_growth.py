@@ -7,6 +7,7 @@ import pytest
 from conftest import canonical, oracle_rows
 from relsat.engine import Engine
 from relsat.operators import store
+from relsat.operators.staging import dealt
 from relsat.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +101,15 @@ def test_dealt_tables_are_not_exchanged(spark, monkeypatch):
     e.bind("more", spark.createDataFrame([(7, 8, 1)], "a int, b int, w int"), ["i32", "i32", "i32"])
     e.run_text("rule more(x, y, w) { set d(x, y) = w } run saturate")
     assert before.count() == 16 and e.query("leteq v = d(x, y) print(x, y, v)").count() == 17
+
+
+def test_pairs_of_one_generation_are_not_exchanged(spark, monkeypatch):
+    # what is written comes in the table's buckets: from few rows, dealt before they are joined
+    monkeypatch.setattr(store, "DEAL_ROWS", 10)
+    written = []
+    monkeypatch.setattr(store, "dealt", lambda df, *a: (written.append(df._jdf.queryExecution().executedPlan().toString()), dealt(df, *a))[1])
+    assert QUERIES["same_generation"](spark, SF).count() == len(oracle_rows(ORACLES["same_generation"], SF)[1])
+    assert len(written) > 2
+    for plan in written:  # no exchange above the join that makes the pairs
+        assert "BroadcastHashJoin" not in plan or "Exchange" not in plan.split("BroadcastHashJoin")[0]
+    assert any("BroadcastHashJoin" in plan for plan in written)
